@@ -471,18 +471,18 @@ def _cubes(spark, sf) -> DataFrame:
 
 @query("cln3_cap_outliers", sql("sales", _CAPS + """
     SELECT order_id, quantity, round(CASE WHEN x > 0 AND x <= greatest(10, floor(n * 0.02e0))
-                                     THEN least(greatest(cube, lo), hi) ELSE cube END, 6) AS cube FROM t, w, k"""))
+                                     THEN least(greatest(cube, lo), hi) ELSE cube END, 2) AS cube FROM t, w, k"""))
 def cln3(spark, sf):
     capped, _ = C.cap_outliers(_cubes(spark, sf))
-    return capped.select("order_id", "quantity", F.round("cube", 6).alias("cube"))
+    return capped.select("order_id", "quantity", F.round("cube", 2).alias("cube"))
 
 
 @query("cln4_remove_outliers", sql("sales", _CAPS + """
-    SELECT order_id, quantity, round(cube, 6) AS cube FROM t, w, k
+    SELECT order_id, quantity, round(cube, 2) AS cube FROM t, w, k
     WHERE NOT (x > 0 AND x / n::DOUBLE <= 0.05e0 AND (cube < lo OR cube > hi))"""))
 def cln4(spark, sf):
     kept, _ = C.remove_outliers(_cubes(spark, sf))
-    return kept.select("order_id", "quantity", F.round("cube", 6).alias("cube"))
+    return kept.select("order_id", "quantity", F.round("cube", 2).alias("cube"))
 
 
 _TYPED = """
