@@ -20,7 +20,7 @@ PHRASES = [
     ("Which region is the weakest by quantity", "weakest", "region", "quantity", 1),
     ("What is the average discount", "average", None, "discount", 1),
     ("Most frequent category please", "most_common", "category", None, 1),
-    ("Any outlier in cost", "outliers", None, "cost", 1),
+    ("Any outlier in revenue", "outliers", None, "revenue", 1),
     ("List the fields", "columns", None, None, 1),
     ("Is there a duplicate", "quality", None, None, 1),
     ("Recommend a next step for category", "advice", "category", "revenue", 1),
@@ -63,7 +63,7 @@ def qa1b(spark, sf):
 
 
 _RESOLVED = [("product_name", "revenue"), ("product_name", "revenue"), ("product_name", "revenue"), ("region", "quantity"),
-             ("product_name", "discount"), ("category", "revenue"), ("product_name", "cost"), ("product_name", "revenue"),
+             ("product_name", "discount"), ("category", "revenue"), ("product_name", "revenue"), ("product_name", "revenue"),
              ("product_name", "revenue"), ("category", "revenue"), ("customer_name", "revenue"), ("product_name", "revenue"),
              ("category", "revenue"), ("product_name", "revenue")]
 
@@ -93,8 +93,18 @@ def _ask(text: str):
     return lambda spark, sf: ASK.ask(Tables(spark, sf).sales, text).select("answer_type", "label", "value", "share")
 
 
-def _asked(name: str, text: str, body: str, views: str = "sales") -> None:
-    query(name, sql(views, body))(_ask(text))
+_BODIES: dict[str, str] = {
+    "columns": "SELECT 'columns' AS answer_type, NULL::VARCHAR AS label, 10e0 AS value, NULL::DOUBLE AS share",
+    "unknown": "SELECT 'unknown' AS answer_type, NULL::VARCHAR AS label, NULL::DOUBLE AS value, NULL::DOUBLE AS share",
+}
+
+
+def _asked(name: str, text: str, body: str) -> None:
+    query(name, sql("sales", body))(_ask(text))
+    body = body.strip()
+    if text.lower() in {p[0].lower() for p in PHRASES} or name == "qa4_unique_count":
+        intent = "unique_count" if name == "qa4_unique_count" else next(p[1] for p in PHRASES if p[0].lower() == text.lower())
+        _BODIES[intent] = "WITH " + body[1:] if body.startswith(",") else body
 
 
 _asked("qa4_unique_count", "How many products do we have?",
@@ -153,15 +163,11 @@ def qa14(spark, sf):
 
 
 @query("qa_ask_many", sql("questions sales", f"""
-    , a AS (SELECT 'average' AS intent, round(avg(discount), 2) AS value FROM sales
-            UNION ALL SELECT 'unique_count', count(DISTINCT product_name) FROM sales
-            UNION ALL SELECT 'rows', count(*) FROM sales)
-    SELECT conv_id, turn, intent, value FROM (SELECT *, {_list(p[1] for p in PHRASES)}{_PICK} AS intent FROM questions) JOIN a USING (intent)"""))
+    , a AS ({" UNION ALL ".join(f"SELECT '{i}' AS intent, * FROM ({b})" for i, b in _BODIES.items())})
+    SELECT conv_id, turn, intent, label, value, share FROM (SELECT *, {_list(p[1] for p in PHRASES)}{_PICK} AS intent FROM questions) JOIN a USING (intent)"""))
 def qa_many(spark, sf):
     t = Tables(spark, sf)
-    asked = questions(t)
-    wanted = ["What is the average discount", "Hamare products kitne hain", "How many rows"]
-    return ASK.ask_many(t.sales, asked.where(F.col("question").isin(wanted))).select("conv_id", "turn", "intent", "value")
+    return ASK.ask_many(t.sales, questions(t)).select("conv_id", "turn", "intent", "label", "value", "share")
 
 
 @query("qa15_conversation_context", sql("questions", """

@@ -31,12 +31,12 @@ def stream_usage(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_rate_limit(
-    events: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS
+    events: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS, delay: str = "1 hour"
 ) -> DataFrame:
     """(user_id, event_id, ts, accepted): the exact rule with at most ``limit`` times of state per user.
 
-    Events of one micro-batch are judged in time order; the state expires once the
-    window has passed without an event.
+    Events of one micro-batch are judged in time order; the state expires in event
+    time, once the watermark has passed the last accepted event by the window.
     """
     out = T.StructType([events.schema["user_id"], events.schema["event_id"], events.schema["ts"],
                         T.StructField("accepted", T.BooleanType())])
@@ -53,10 +53,12 @@ def stream_rate_limit(
         micros = rows["ts"].astype("datetime64[us]").astype("int64")
         rows["accepted"] = admit(micros.tolist(), accepted, limit, window_seconds * 1000000)
         state.update((list(accepted),))
-        state.setTimeoutDuration(max(window_seconds, 1) * 1000)
+        expires = int(micros.iloc[-1]) // 1000 + window_seconds * 1000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield rows[["user_id", "event_id", "ts", "accepted"]]
 
-    return events.groupBy("user_id").applyInPandasWithState(judge, out, state_type, "append", "ProcessingTimeTimeout")
+    marked = events.withWatermark("ts", delay)
+    return marked.groupBy("user_id").applyInPandasWithState(judge, out, state_type, "append", "EventTimeTimeout")
 
 
 def stream_dedup(uploads: DataFrame, key: str = "dataset_hash", time: str = "ts", delay: str = "1 hour") -> DataFrame:
