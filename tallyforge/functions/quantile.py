@@ -59,8 +59,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
 
     def at(rank: Column) -> Column:
         here = (F.col("upto") - F.col("rows") <= rank) & (rank < F.col("upto"))
-        safe = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-            F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        # The ends of a counted range are known exactly, which covers the ranks next to a bracket.
+        safe = (
+            F.when((F.col("lo") == F.col("hi")) | (rank == F.col("upto") - F.col("rows")), F.col("lo"))
+            .when(rank == F.col("upto") - 1, F.col("hi"))
+            .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         )
         return F.max(F.when(here, safe))
 

@@ -350,14 +350,18 @@ def ask_many(df: DataFrame, questions: DataFrame, max_plans: int = 500) -> DataF
         raise ValueError(f"the questions need more than {max_plans} different aggregations; raise max_plans or split them")
     if not plans:
         return planned.select(*questions.columns, "intent", *[F.lit(None).cast("string").alias(a) for a in ANSWER])
-    answers = reduce(DataFrame.unionByName, [
-        answer_plan(df, p["intent"], p["dimension"], p["measure"], p["n"]).select(
-            *[F.lit(p[k]).cast("int" if k == "n" else "string").alias(f"_{k}") for k in keys], *ANSWER
-        )
+    # An answer has at most 25 rows, so all answers together are bounded like the plans.
+    rows = [
+        (*[p[k] for k in keys], *row)
         for p in plans
-    ])
+        for row in answer_plan(df, p["intent"], p["dimension"], p["measure"], p["n"]).select(*ANSWER).collect()
+    ]
+    answers = df.sparkSession.createDataFrame(
+        rows, "_intent string, _dimension string, _measure string, _n int, "
+              "answer_type string, label string, value double, share double, text string",
+    )
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return planned.join(answers, same).select(*questions.columns, "intent", *ANSWER)
+    return planned.join(F.broadcast(answers), same).select(*questions.columns, "intent", *ANSWER)
 
 
 def conversation_context(
@@ -431,12 +435,13 @@ def suggestions(df: DataFrame, limit: int = 4) -> DataFrame:
     money = first_match(numbers, ["revenue", "sales", "amount", "total", "price", "profit"])
     dated = any("date" in c.lower() for c in df.columns)
     missing = P.missing_summary(df).select((F.col("missing_cells") > 0).alias("m"))
-    rules = F.array(
-        F.struct(F.lit(True).alias("on"), F.lit("Ask: Explain my KPIs").alias("text")),
-        F.struct(F.lit(bool(product and money)), F.lit(f"Ask: Which {humanize_name(product or '')} generates maximum revenue?")),
-        F.struct(F.lit(bool(city and money)), F.lit(f"Ask: Which {humanize_name(city or '')} is performing best?")),
-        F.struct(F.lit(dated), F.lit("Ask: Why are profits decreasing?")),
-        F.struct(F.col("m"), F.lit("Ask: What should I clean first?")),
-    )
+    offers = [
+        (F.lit(True), "Ask: Explain my KPIs"),
+        (F.lit(bool(product and money)), f"Ask: Which {humanize_name(product or '')} generates maximum revenue?"),
+        (F.lit(bool(city and money)), f"Ask: Which {humanize_name(city or '')} is performing best?"),
+        (F.lit(dated), "Ask: Why are profits decreasing?"),
+        (F.col("m"), "Ask: What should I clean first?"),
+    ]
+    rules = F.array(*[F.struct(on.alias("on"), F.lit(text).alias("text")) for on, text in offers])
     kept = missing.select(F.posexplode(F.slice(F.filter(rules, lambda r: r["on"]), 1, limit)))
     return kept.select((F.col("pos") + 1).alias("rank"), F.col("col.text").alias("text"))

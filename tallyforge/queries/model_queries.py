@@ -128,8 +128,8 @@ def ml2(spark, sf):
 
 
 @query("ml3_one_hot_top6", """
-    SELECT event_id, (event_type = 'click')::INT AS event_type_click, (event_type = 'error')::INT AS event_type_error,
-           (event_type = 'purchase')::INT AS event_type_purchase, (event_type = 'signup')::INT AS event_type_signup,
+    SELECT event_id, (coalesce(event_type, 'Unknown') = 'click')::INT AS event_type_click, (coalesce(event_type, 'Unknown') = 'error')::INT AS event_type_error,
+           (coalesce(event_type, 'Unknown') = 'purchase')::INT AS event_type_purchase, (coalesce(event_type, 'Unknown') = 'signup')::INT AS event_type_signup,
            (event_type IS NULL OR event_type = 'Unknown')::INT AS event_type_Unknown
     FROM (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS event_type FROM events)""")
 def ml3(spark, sf):
