@@ -116,7 +116,7 @@ class Tables:
             F.col("p_brand").alias("brand"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
             F.col("l_quantity").alias("quantity"),
-        ).withColumn("tail", F.col("revenue") * F.col("revenue") / 1e6)
+        ).withColumn("tail", F.pow(F.col("revenue") * F.col("revenue") / 1e6, F.lit(2.0)) / 1e3)
 
 
 # Each view by name: (names of views it reads, SQL).
@@ -146,7 +146,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "supplier_lines": ([], """
         SELECT l_suppkey AS dataset_id, l_shipdate::TIMESTAMP AS ship_date, p_brand AS brand,
                l_extendedprice * (1 - l_discount) AS revenue, l_quantity AS quantity,
-               (l_extendedprice * (1 - l_discount)) * (l_extendedprice * (1 - l_discount)) / 1e6 AS tail
+               pow((l_extendedprice * (1 - l_discount)) * (l_extendedprice * (1 - l_discount)) / 1e6, 2) / 1e3 AS tail
         FROM lineitem JOIN part ON l_partkey = p_partkey"""),
 }
 

@@ -12,7 +12,7 @@ from tallyforge.queries.base import VIEWS, Tables, query, sql
 from tallyforge.queries.usage_queries import uploads, users
 
 MEASURES = ["quantity", "revenue"]
-SHARE, SKEW = 14.5, 0.85
+SHARE, SKEW = 14.5, 1.25
 
 
 class Signals:
@@ -372,3 +372,13 @@ def kpi14(spark, sf):
     forecasts = s.forecasts.select("dataset_id", "column", "predicted_value", F.when(F.lit(False), F.col("change_percent")).alias("change_percent"))
     found = K.enrich_kpis(kpis, trends, forecasts, ["dataset_id"])
     return found.select("dataset_id", "kpi", "value", "trend", "trend_direction", "previous_value", "confidence_label", "is_good", "should_act")
+
+
+@query("rpt7_run_analysis", sql("sales", """
+    SELECT unnest(['shape', 'missing', 'kpis', 'trend_engine', 'correlations', 'concentration', 'seasonality', 'pareto']) AS section,
+           unnest([1, 10, (SELECT 6 + (count(DISTINCT product_name) <= 50)::INT FROM sales), 16, 6, 4, 1, 3]) AS rows"""))
+def rpt7(spark, sf):
+    from tallyforge.plans.analysis import run_analysis, section_sizes
+
+    result = run_analysis(Tables(spark, sf).sales, "sales", models=False)
+    return section_sizes(spark, result)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -42,6 +43,36 @@ def src2(spark, sf):
     return spark.read.json(path).select("p_partkey", "p_name", "p_size")
 
 
+def workbook(rows: list[list]) -> bytes:
+    """A minimal workbook with one sheet of inline texts, as input for the reader."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    lines = "".join(
+        "<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for v in row) + "</row>" for row in rows
+    )
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{lines}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@query("src3_read_excel", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
+def src3(spark, sf):
+    @F.pandas_udf("binary")
+    def pack(batch: pd.Series) -> pd.Series:
+        return pd.Series([workbook([["c_custkey", "c_name"], *[[r["c_custkey"], r["c_name"]] for r in rows]]) for rows in batch])
+
+    # Workbooks of at most 500 customers.
+    chunk = F.floor(F.col("c_custkey") / 500)
+    packed = Tables(spark, sf).customer.groupBy(chunk.cast("string").alias("path")).agg(
+        F.collect_list(F.struct("c_custkey", "c_name")).alias("rows"))
+    files = packed.select("path", pack("rows").alias("content"))
+    return R.parse_workbooks(files, ["c_custkey", "c_name"]).drop("source_file")
+
+
 @query("src4_read_table", "SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def src4(spark, sf):
     return R.read_table(spark, sf, "orders").select(

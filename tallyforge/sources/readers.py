@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyforge.functions.semantics import any_of, col, nan_to_null, text_columns
+from tallyforge.sources.excel import sheet_rows
 
 _CORRUPT = "_corrupt_record"
 SUPPORTED = {".csv", ".json", ".xlsx", ".parquet"}
@@ -63,23 +64,24 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_excel_folder(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """First sheet of every .xlsx below ``path``; one task per file, all values as text.
+    """First sheet of every .xlsx below ``path``; files are spread over tasks, all values are text.
 
     Columns default to the header of the first file. ``source_file`` tells the
     files apart.
     """
-    from tallyforge.sources.excel import sheet_rows
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     if columns is None:
         head = files.orderBy("path").limit(1).collect()
         if not head:
             raise ValueError("Dataset is empty or has no columns.")
         columns = next(sheet_rows(bytes(head[0]["content"])))
+    return parse_workbooks(files, columns)
+
+
+def parse_workbooks(files: DataFrame, columns: list[str]) -> DataFrame:
+    """(source_file, columns...) from rows of ``path`` and workbook ``content``; a workbook is read as a stream."""
     names = list(columns)
-    schema = T.StructType([T.StructField("source_file", T.StringType())])
-    for name in names:
-        schema = schema.add(name, T.StringType())
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ["source_file", *names]])
 
     def parse(batches):
         import pandas as pd
