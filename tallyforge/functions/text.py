@@ -9,19 +9,20 @@ from pyspark.sql import Column, functions as F
 # Characters dropped before a text value is read as a number.
 CURRENCY_MARKS = ",$₹%"
 
-# Date layouts tried in order; an ambiguous day/month is read month first.
+# Date layouts tried in order, with the shape of text each one can read; an
+# ambiguous day/month is read month first. The shape is tested first because a failed parse is slow.
 DATE_LAYOUTS = [
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "MM-dd-yyyy",
-    "dd-MM-yyyy",
-    "dd MMM yyyy",
-    "MMM dd, yyyy",
-    "yyyy-MM",
+    ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", r"^\d{4}-\d{2}-\d{2} \d"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", r"^\d{4}-\d{2}-\d{2}T"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MM-dd-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("dd MMM yyyy", r"^\d{2} [A-Za-z]{3} \d{4}$"),
+    ("MMM dd, yyyy", r"^[A-Za-z]{3} \d{2}, \d{4}$"),
+    ("yyyy-MM", r"^\d{4}-\d{2}$"),
 ]
 
 
@@ -57,7 +58,9 @@ def numeric_from_text(value: Column, marks: str = CURRENCY_MARKS) -> Column:
 
 def timestamp_from_text(value: Column) -> Column:
     """A timestamp by the first layout that fits; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(value), F.lit(layout)) for layout in DATE_LAYOUTS])
+    text = F.trim(value)
+    tried = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in DATE_LAYOUTS]
+    return F.when(text.rlike(r"\d"), F.coalesce(*tried))
 
 
 def contains_any(value: Column, words: list[str]) -> Column:

@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", memory: str = "12g", shuffle_partitions
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.files.openCostInBytes", "1048576")
     )
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
