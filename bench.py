@@ -15,11 +15,11 @@ from tallyforge.queries import REGISTRY
 from tallyforge.session import local_session
 
 HEADLINE = [
-    "prf4_duplicate_rows", "prf5_describe_numeric", "prf12_inspect_dataset", "prf16_iqr_bounds", "prf18_dataset_health",
+    "prf4_duplicate_rows", "prf5_describe_numeric", "prf16_iqr_bounds", "prf18_dataset_health",
     "kpi3_role_totals", "kpi4_role_distinct", "trd2_period_growth", "trd5_linear_trend",
     "trd10_pct_change_spikes", "trd12_change_driver", "agg1_group_sum_rank", "agg4_concentration", "agg7_correlation_matrix",
-    "anm3_rule_anomalies", "cht1_histogram", "ml12_forecast_many",
-    "qa7_top_n", "j4_latest_per_key", "u2_quota_check", "u4_rate_limit_exact", "txt2_language_purity", "cln5_clean_dataset",
+    "anm3_rule_anomalies", "cht1_histogram",
+    "qa7_top_n", "j4_latest_per_key", "u2_quota_check", "u4_rate_limit_exact", "txt2_language_purity",
 ]
 
 
