@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import nbsvm
-from tallyforge.llm.shared import held_out
+from tallyforge.llm import nbsvm, ngram_join
+from tallyforge.llm.shared import held_out, one_row_each, without_ids
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
 
@@ -21,7 +21,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return nbsvm.score(docs, model, "__quality").where("__quality >= 0.3").drop("__quality")
 
 
-STAGES = [("quality classifier", keep_good)]
+def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id."""
+    groups = ngram_join.ngram_join(docs)
+    return one_row_each(without_ids(docs, groups.where("NOT kept").select("doc_id")), "doc_id")
+
+
+STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_copies)]
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import nbsvm
+from tallyforge.llm import nbsvm, ngram_join
 from tallyforge.llm.shared import held_out
 from tallyforge.sources.readers import read_table
 
@@ -17,7 +17,13 @@ def op7_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, links and component of every document by 5-word Jaccard similarity of at least 0.8."""
+    return ngram_join.ngram_join(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op7_quality_nbsvm": op7_quality_nbsvm,
 }
 ORACLES: dict[str, str] = {}

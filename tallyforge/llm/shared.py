@@ -93,3 +93,15 @@ def without_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFr
     stays = marked.where(~F.col(flag)).drop(flag)
     doubt = marked.where(F.col(flag)).drop(flag)
     return stays.unionByName(doubt.join(bad, doubt[name].cast("long") == bad["bad_id"], "left_anti"))
+
+
+def one_row_each(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with one row of each id that occurs more than once; rows of null id all stay.
+
+    Ids are counted on their column alone; only rows of repeated ids are shuffled.
+    """
+    repeated = checkpoint_frame(docs.groupBy(F.col(name).alias("many_id")).agg(F.count(F.lit(1)).alias("many")).where("many > 1 AND many_id IS NOT NULL").select("many_id"))
+    if repeated.isEmpty():
+        return docs
+    first = docs.join(repeated, docs[name] == repeated["many_id"]).select(docs.columns).dropDuplicates([name])
+    return without_ids(docs, repeated, name).unionByName(first)
