@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import nbsvm, ngram_join
+from tallyforge.llm import nbsvm, ngram_join, winnow
 from tallyforge.llm.shared import held_out, one_row_each, without_ids
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -27,7 +27,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return one_row_each(without_ids(docs, groups.where("NOT kept").select("doc_id")), "doc_id")
 
 
-STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    found = winnow.decontaminate(docs, read_table(spark, folder, "benchmark"))
+    return without_ids(docs, found.where("contaminated").select("doc_id"))
+
+
+STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_copies), ("benchmark decontamination", drop_contaminated)]
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import nbsvm, ngram_join
+from tallyforge.llm import nbsvm, ngram_join, winnow
 from tallyforge.llm.shared import held_out
 from tallyforge.sources.readers import read_table
 
@@ -22,7 +22,13 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_join(read_table(spark, folder, "documents"))
 
 
+def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark words in every document by windows of 13 words."""
+    return winnow.decontaminate(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES = {
+    "op6_winnowing": op6_winnowing,
     "op1_ngram_join": op1_ngram_join,
     "op7_quality_nbsvm": op7_quality_nbsvm,
 }
