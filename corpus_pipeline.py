@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import nbsvm, ngram_join, winnow
+from tallyforge.llm import mixing, nbsvm, ngram_join, winnow
 from tallyforge.llm.shared import held_out, one_row_each, without_ids
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -33,7 +33,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return without_ids(docs, found.where("contaminated").select("doc_id"))
 
 
-STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_copies), ("benchmark decontamination", drop_contaminated)]
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.materialise(docs)
+
+
+STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_copies), ("benchmark decontamination", drop_contaminated), ("mixing sources", mix_sources)]
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import nbsvm, ngram_join, winnow
+from tallyforge.llm import mixing, nbsvm, ngram_join, winnow
 from tallyforge.llm.shared import held_out
 from tallyforge.sources.readers import read_table
 
@@ -27,7 +27,13 @@ def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.decontaminate(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op8_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of every document so that sources come near their targets."""
+    return mixing.mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op8_pareto_mix": op8_pareto_mix,
     "op6_winnowing": op6_winnowing,
     "op1_ngram_join": op1_ngram_join,
     "op7_quality_nbsvm": op7_quality_nbsvm,
