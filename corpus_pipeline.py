@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import mixing, nbsvm, ngram_join, winnow
+from tallyforge.llm import mixing, nbsvm, ngram_join, token_store, winnow
+from tallyforge.llm.queries import END_ID, tokenizer_path
 from tallyforge.llm.shared import held_out, one_row_each, without_ids
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -38,7 +39,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return mixing.materialise(docs)
 
 
-STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", drop_copies), ("benchmark decontamination", drop_contaminated), ("mixing sources", mix_sources)]
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token files of the mix, and what is read back from them: doc_id, start, n_tokens, ids_crc32 of each copy."""
+    path = f"{scratch_folder(spark)}/tokens"
+    token_store.write_store(docs, path, tokenizer_path(), END_ID)
+    return token_store.digest(spark, path)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", drop_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+    ("token ids", write_tokens),
+]
 ORACLE_SQL = None
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import mixing, nbsvm, ngram_join, winnow
+from tallyforge.llm import mixing, nbsvm, ngram_join, token_store, winnow
 from tallyforge.llm.shared import held_out
+from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
 
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
 
 def op7_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; labels of held-out rows are never read by the fit."""
@@ -32,7 +35,24 @@ def op8_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """The place of a public tokenizer's file, installed alike on every machine."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
+
+
+def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids as read back from the written store."""
+    path = f"{scratch_folder(spark)}/tokens"
+    token_store.write_store(read_table(spark, folder, "documents"), path, tokenizer_path(), END_ID)
+    return token_store.digest(spark, path)
+
+
 QUERIES = {
+    "op10_token_store": op10_token_store,
     "op8_pareto_mix": op8_pareto_mix,
     "op6_winnowing": op6_winnowing,
     "op1_ngram_join": op1_ngram_join,
