@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.components import components
 from tallyforge.llm.rolling import batch_pieces, mix
-from tallyforge.llm.shared import Bitmap, whole_runs
+from tallyforge.llm.shared import Bitmap, in_blocks, root_of, whole_runs
 from tallyforge.session import checkpoint_frame
 
 
@@ -96,24 +96,6 @@ def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(add, "doc_id long, grams int, digest binary, sig binary")
 
 
-def _blocked(members: DataFrame, key: str, parts: F.Column, by: str) -> DataFrame:
-    """Members once for each pair of blocks that their block is in; lo and hi name the pair, own the member's block."""
-    own = F.pmod(F.xxhash64(by), parts).cast("int")
-    return (
-        members.withColumn("parts", parts.cast("int")).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts")
-        .repartition(F.col(key), F.col("lo"), F.col("hi")).sortWithinPartitions(key, "lo", "hi", by)
-    )
-
-
-def _root(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _forest(batches, least: int, share: float):
     """Links (a, b) of a spanning forest of the members of each block pair whose sizes and MinHash values agree enough."""
     for table, bounds in whole_runs(batches, ["bucket", "lo", "hi"]):
@@ -136,11 +118,11 @@ def _forest(batches, least: int, share: float):
                 if cross:
                     near &= own[a:b] == hi[a]
                 for j in np.flatnonzero(near) + base:
-                    x, y = _root(parent, i - a), _root(parent, int(j) - a)
+                    x, y = root_of(parent, i - a), root_of(parent, int(j) - a)
                     if x != y:
                         parent[max(x, y)] = min(x, y)
             for k in range(b - a):
-                r = _root(parent, k)
+                r = root_of(parent, k)
                 if r != k:
                     left.append(rep[a + k])
                     right.append(rep[a + r])
@@ -238,7 +220,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = entries.join(buckets, "bucket").join(classes.select("rep", "grams", "sig"), "rep")
     least = least_agreement(threshold, size)
-    found = _blocked(members.select("bucket", "members", "rep", "grams", "sig"), "bucket", F.ceil(F.col("members") / block), "rep").drop("members")
+    found = in_blocks(members.select("bucket", "members", "rep", "grams", "sig"), "bucket", F.ceil(F.col("members") / block), "rep").drop("members")
     near = components(found.mapInArrow(lambda it: _forest(it, least, float(threshold)), "a long, b long"))
 
     groups = near.withColumnRenamed("node", "rep").join(classes.select("rep", "id0", "digest", "n", "grams"), "rep")
@@ -267,7 +249,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("grams").cast("long")).alias("g"))
     parts = F.ceil(F.greatest(F.col("k") / verify_block, F.col("g") / block_grams))
     full = groups.join(sets, groups["id0"].eqNullSafe(sets["id"]) & (groups["digest"] == sets["dig"])).select("component", "rep", "n", "grams", "digest", "set").dropDuplicates(["digest"])
-    pairs = _blocked(full.drop("digest").join(sizes, "component"), "component", parts, "rep").drop("k", "g")
+    pairs = in_blocks(full.drop("digest").join(sizes, "component"), "component", parts, "rep").drop("k", "g")
     links = checkpoint_frame(pairs.mapInArrow(lambda it: _verify(it, share), "rep long, links long, root long"))
     final = components(links.select("rep", "root"))
     named = (

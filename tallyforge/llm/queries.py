@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import mixing, nbsvm, ngram_join, token_store, winnow
+from tallyforge.llm import mixing, nbsvm, ngram_join, rp_forest, token_store, winnow
 from tallyforge.llm.shared import held_out
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -51,7 +51,13 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.digest(spark, path)
 
 
+def op2_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of every vector at a cosine of at least 0.9."""
+    return rp_forest.near_vectors(read_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
+    "op2_rp_forest": op2_rp_forest,
     "op10_token_store": op10_token_store,
     "op8_pareto_mix": op8_pareto_mix,
     "op6_winnowing": op6_winnowing,

@@ -105,3 +105,22 @@ def one_row_each(docs: DataFrame, name: str) -> DataFrame:
         return docs
     first = docs.join(repeated, docs[name] == repeated["many_id"]).select(docs.columns).dropDuplicates([name])
     return without_ids(docs, repeated, name).unionByName(first)
+
+
+def in_blocks(members: DataFrame, key: str, parts: Column, by: str) -> DataFrame:
+    """Members once for each pair of blocks that their block is in; lo and hi name the pair, own the member's block."""
+    own = F.pmod(F.xxhash64(by), parts).cast("int")
+    return (
+        members.withColumn("parts", parts.cast("int")).withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts")
+        .repartition(F.col(key), F.col("lo"), F.col("hi")).sortWithinPartitions(key, "lo", "hi", by)
+    )
+
+
+def root_of(parent: list[int], x: int) -> int:
+    """The root of a node, with the path to it shortened."""
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
