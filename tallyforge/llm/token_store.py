@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +28,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyforge.llm.rolling import pieces, text_buffer
+
 BLOCK = 1 << 20
-CACHE = 300_000
+CACHE = 120_000
 _KEEP = re.compile("[\x1c-\x1f]")
+_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]")
+_CLOSING = re.compile(r"[!-/:-@\[-`{-~]++(?!\S)")
 
 
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``, by way of a cache of chunks.
 
-    For tokenizers that drop white space before they split (``splits_on_space``) a text is the sequence of its chunks between white
-    space, so each distinct chunk is encoded once. Texts with the four control characters that Python, but not the
-    tokenizer, takes for white space are encoded whole, as are all texts of other tokenizers. The cache is emptied when full.
+    For tokenizers that lower-case, drop white space and split by one pattern (``splits_on_space``) a text is the sequence of its
+    chunks between white space, and each distinct chunk is encoded once. Texts of ASCII characters and Latin letters alone, where the
+    order of the normaliser's steps cannot matter, are first lower-cased and have closing punctuation parted from words, so
+    chunks repeat more often. Texts with the four control characters that Python, but not the tokenizer, takes for white
+    space are encoded whole, as are all texts of other tokenizers. The cache has two generations of ``CACHE`` chunks.
     """
 
     def __init__(self, path: str):
@@ -48,32 +56,39 @@ class WordEncoder:
         self.kind = f"<u{self.width}"
         self.chunked = splits_on_space(self.tokenizer)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.width == 2 else "I"
+        own = [array(code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in own:
+                ids.byteswap()
+        return [ids.tobytes() for ids in own]
+
+    def _chunks(self, text: str) -> list[str]:
+        if _OTHER.search(text) is None and "<|" not in text:
+            text = _CLOSING.sub(r" \g<0>", text.lower())
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.chunked or _KEEP.search(t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        at = 0
-        while at < len(texts):  # whole texts, a million characters at a time
-            split, size, begin = [], 0, at
-            while at < len(texts) and (not split or size < 1 << 20):
-                split.append(texts[at].split() if out[at] is None else [])
-                size += len(texts[at])
-                at += 1
-            fresh = list({c for chunks in split for c in chunks if c not in cache})
-            cache.update(zip(fresh, self._whole(fresh), strict=True))
-            for i, chunks in enumerate(split, begin):
-                if out[i] is None:
-                    out[i] = b"".join([cache[c] for c in chunks])
-        return out
+        """Little-endian ids of each text; meant for lists of about a million characters."""
+        odd = [not self.chunked or _KEEP.search(t) is not None for t in texts]
+        whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        split = [[] if o else self._chunks(t) for t, o in zip(texts, odd, strict=True)]
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        fresh = []
+        for c in {c for chunks in split for c in chunks if c not in cache}:
+            known = older.get(c)
+            if known is None:
+                fresh.append(c)
+            else:
+                cache[c] = known
+        for a in range(0, len(fresh), 20_000):
+            cache.update(zip(fresh[a:a + 20_000], self._whole(fresh[a:a + 20_000]), strict=True))
+        return [next(whole) if o else b"".join([cache[c] for c in chunks]) for o, chunks in zip(odd, split, strict=True)]
 
 
 def splits_on_space(tokenizer) -> bool:
@@ -98,21 +113,20 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 4000, size: int = 1 << 16) -> bytes:
-    """A zstandard dictionary from the id arrays of at most ``sample`` documents, those of the smallest hash of id and text.
+    """A zstandard dictionary from the id arrays of at most ``sample`` documents, those of the smallest hash of the id.
 
     Only ids, not texts, reach the driver: at most 1 000 ids of a document. Where there is too little to train on, the
     dictionary is empty and frames are compressed without one.
     """
-    picked = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
-        F.length("text") > 0)
+    picked = docs.select(F.xxhash64("doc_id").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lowest = picked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if lowest is None:
         return b""
 
     def ids(batches):
         for batch in batches:
-            got = _encoder(tokenizer).encode(batch.column("text").to_pylist())
             width = _encoder(tokenizer).width
+            got = [r for part in _slices(batch) for r in _encoder(tokenizer).encode(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([r[:1000 * width] for r in got], pa.binary())], ["h", "ids"])
 
     rows = picked.where(F.col("h") <= lowest).mapInArrow(ids, "h long, ids binary").orderBy("h", "ids").limit(sample).collect()
@@ -123,6 +137,13 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
         return b""
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about a million bytes of text."""
+    _, offsets = text_buffer(batch.column("text"))
+    for i, j, _, _ in pieces(np.zeros(0, np.uint8), offsets):
+        yield batch.slice(i, j - i)
+
+
 def _compressor(raw: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     own = zstandard.ZstdCompressionDict(raw) if raw else None
     return zstandard.ZstdCompressor(level=3, dict_data=own, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor(dict_data=own)
@@ -146,7 +167,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
     def encode(batches):
         own, (pack, _) = _encoder(tokenizer), _compressor(shared.value)
         end = np.array([end_id], own.kind).tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column("doc_id").to_pylist()
             place = np.searchsorted(cuts, np.array([-2**63 if i is None else i for i in ids], np.int64), side="left").astype(np.int32)
             got = [r + end for r in own.encode([t or "" for t in batch.column("text").to_pylist()])]
