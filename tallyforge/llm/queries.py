@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import chat, mixing, nbsvm, ngram_join, rp_forest, token_store, winnow
+from tallyforge.llm import chat, host_suffix, mixing, nbsvm, ngram_join, rp_forest, token_store, winnow
 from tallyforge.llm.shared import held_out
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -66,7 +66,13 @@ def op9_typed_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op4_host_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return host_suffix.extract(read_table(spark, folder, "pages"))
+
+
 QUERIES = {
+    "op4_host_suffix": op4_host_suffix,
     "op9_typed_chat": op9_typed_chat,
     "op2_rp_forest": op2_rp_forest,
     "op10_token_store": op10_token_store,
