@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm import mixing, nbsvm, ngram_join, token_store, winnow
 from tallyforge.llm.queries import END_ID, tokenizer_path
-from tallyforge.llm.shared import held_out, one_row_each, without_ids
+from tallyforge.llm.shared import held_out, one_row_each, small_batches, without_ids
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of at least 0.3)."""
+    small_batches(spark)
     labels = read_table(spark, folder, "labels")
     model = nbsvm.fit(docs, labels.where(~held_out(F.col("doc_id"))), "quality")
     return nbsvm.score(docs, model, "__quality").where("__quality >= 0.3").drop("__quality")
@@ -24,23 +25,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id."""
+    small_batches(spark)
     groups = ngram_join.ngram_join(docs)
     return one_row_each(without_ids(docs, groups.where("NOT kept").select("doc_id")), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    small_batches(spark)
     found = winnow.decontaminate(docs, read_table(spark, folder, "benchmark"))
     return without_ids(docs, found.where("contaminated").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document as often as the mix takes it."""
+    small_batches(spark)
     return mixing.materialise(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token files of the mix, and what is read back from them: doc_id, start, n_tokens, ids_crc32 of each copy."""
+    small_batches(spark)
     path = f"{scratch_folder(spark)}/tokens"
     token_store.write_store(docs, path, tokenizer_path(), END_ID)
     return token_store.digest(spark, path)

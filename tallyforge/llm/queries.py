@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm import chat, host_suffix, mixing, nbsvm, ngram_join, rp_forest, token_store, winnow
-from tallyforge.llm.shared import held_out
+from tallyforge.llm.shared import held_out, small_batches
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
 
@@ -71,14 +73,24 @@ def op4_host_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return host_suffix.extract(read_table(spark, folder, "pages"))
 
 
+def _tuned(query):
+    """The query in a session with small batches for long texts."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES = {
-    "op4_host_suffix": op4_host_suffix,
-    "op9_typed_chat": op9_typed_chat,
-    "op2_rp_forest": op2_rp_forest,
-    "op10_token_store": op10_token_store,
-    "op8_pareto_mix": op8_pareto_mix,
-    "op6_winnowing": op6_winnowing,
-    "op1_ngram_join": op1_ngram_join,
-    "op7_quality_nbsvm": op7_quality_nbsvm,
+    "op4_host_suffix": _tuned(op4_host_suffix),
+    "op9_typed_chat": _tuned(op9_typed_chat),
+    "op2_rp_forest": _tuned(op2_rp_forest),
+    "op10_token_store": _tuned(op10_token_store),
+    "op8_pareto_mix": _tuned(op8_pareto_mix),
+    "op6_winnowing": _tuned(op6_winnowing),
+    "op1_ngram_join": _tuned(op1_ngram_join),
+    "op7_quality_nbsvm": _tuned(op7_quality_nbsvm),
 }
 ORACLES: dict[str, str] = {}

@@ -37,12 +37,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts of a column and the offsets of each text; null is empty."""
+    """The bytes of all texts of a column and the offsets of each text, without a copy of the texts; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
@@ -113,3 +119,4 @@ def batch_pieces(column) -> Iterator[tuple[int, int, Words]]:
     buf, offsets = text_buffer(column)
     for i, j, part, own in pieces(buf, offsets):
         yield i, j, Words(part, own)
+    pa.default_memory_pool().release_unused()

@@ -6,13 +6,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.session import checkpoint_frame
 
 BITS = 24
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in batches of ``rows`` rows, unless the session has a setting of its own; bounds workers' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text leaves no remainder modulo 5; such rows never teach a model."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyforge.llm.rolling import pieces, text_buffer
 
 BLOCK = 1 << 20
-CACHE = 120_000
+CACHE = 100_000
 _KEEP = re.compile("[\x1c-\x1f]")
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]")
 _CLOSING = re.compile(r"[!-/:-@\[-`{-~]++(?!\S)")
@@ -142,6 +142,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     _, offsets = text_buffer(batch.column("text"))
     for i, j, _, _ in pieces(np.zeros(0, np.uint8), offsets):
         yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()
 
 
 def _compressor(raw: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
