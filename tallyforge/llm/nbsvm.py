@@ -149,17 +149,24 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     return w * ratio, bias
 
 
-def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the probability by a margin (Newton steps on smoothed targets)."""
+def logistic_curve(margin: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
+    """Slope and shift of the probability by a margin: Newton steps on smoothed targets, halved while they do not help."""
     ones, zeros = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * margin + b
+        return float((np.logaddexp(0, z) - target * z).sum() + ridge * a * a / 2)
+
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        g = np.array([((p - target) * margin).sum() + 1e-6 * a, (p - target).sum()])
+        g = np.array([((p - target) * margin).sum() + ridge * a, (p - target).sum()])
         s = np.maximum(p * (1 - p), 1e-9)
-        hess = np.array([[(s * margin * margin).sum() + 1e-6, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
+        hess = np.array([[(s * margin * margin).sum() + ridge, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
+        step, now = np.linalg.solve(hess, g), loss(a, b)
+        while np.abs(step).max() > 1e-9 and loss(a - step[0], b - step[1]) > now:
+            step = step / 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break

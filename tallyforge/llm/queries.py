@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import chat, host_suffix, mixing, nbsvm, ngram_join, rp_forest, token_store, winnow
+from tallyforge.llm import chat, host_suffix, mixing, nbsvm, ngram_join, rp_forest, token_store, toxicity, winnow
 from tallyforge.llm.shared import held_out, small_batches
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -73,6 +73,15 @@ def op4_host_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return host_suffix.extract(read_table(spark, folder, "pages"))
 
 
+def op3_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document after deobfuscation; labels of held-out rows are never read by the fit."""
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    table = toxicity.character_model(docs)
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", table)
+    return toxicity.score(docs.select("doc_id", "text"), model, table).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _tuned(query):
     """The query in a session with small batches for long texts."""
     @functools.wraps(query)
@@ -84,6 +93,7 @@ def _tuned(query):
 
 
 QUERIES = {
+    "op3_noisy_channel": _tuned(op3_noisy_channel),
     "op4_host_suffix": _tuned(op4_host_suffix),
     "op9_typed_chat": _tuned(op9_typed_chat),
     "op2_rp_forest": _tuned(op2_rp_forest),
