@@ -31,20 +31,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyforge.llm.rolling import pieces, text_buffer
 
 BLOCK = 1 << 20
-CACHE = 100_000
+CACHE = 150_000
 _KEEP = re.compile("[\x1c-\x1f]")
-_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]")
-_CLOSING = re.compile(r"[!-/:-@\[-`{-~]++(?!\S)")
+# U+0130 becomes two characters in lower case
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# byte-level vocabularies show printable bytes as themselves and the others as the characters from 256 on
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``, by way of a cache of chunks.
 
     For tokenizers that lower-case, drop white space and split by one pattern (``splits_on_space``) a text is the sequence of its
-    chunks between white space, and each distinct chunk is encoded once. Texts of ASCII characters and Latin letters alone, where the
-    order of the normaliser's steps cannot matter, are first lower-cased and have closing punctuation parted from words, so
-    chunks repeat more often. Texts with the four control characters that Python, but not the tokenizer, takes for white
-    space are encoded whole, as are all texts of other tokenizers. The cache has two generations of ``CACHE`` chunks.
+    chunks between white space, and each distinct chunk is encoded once. A chunk of Latin letters with closing
+    ASCII marks is its lower-cased word and its marks; such a word needs neither normalising nor splitting and goes to the
+    tokenizer's model at once. Texts with the four control characters that Python, but not the tokenizer, takes for white
+    space are encoded whole, as are all texts of other tokenizers. The cache has two generations of ``CACHE`` entries.
     """
 
     def __init__(self, path: str):
@@ -52,42 +56,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self.code = "H" if self.width == 2 else "I"
         self.chunked = splits_on_space(self.tokenizer)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.width == 2 else "I"
-        own = [array(code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, ids: list[int]) -> bytes:
+        own = array(self.code, ids)
         if sys.byteorder == "big":
-            for ids in own:
-                ids.byteswap()
-        return [ids.tobytes() for ids in own]
+            own.byteswap()
+        return own.tobytes()
 
-    def _chunks(self, text: str) -> list[str]:
-        if _OTHER.search(text) is None and "<|" not in text:
-            text = _CLOSING.sub(r" \g<0>", text.lower())
-        return text.split()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Put chunks into the cache."""
+        cache, older, tokenize, code = self.cache, self.older, self.model.tokenize, self.code
+        swap, rest = sys.byteorder == "big", []
+        for c in chunks:
+            ids = older.get(c)
+            if ids is None:
+                word = c.rstrip(_MARKS)
+                plain = word.isascii()
+                if not (word.isalpha() if plain else _LATIN.fullmatch(word)):
+                    rest.append(c)
+                    continue
+                low = word.lower()
+                ids = cache.get(low)
+                if ids is None:
+                    ids = older.get(low)
+                    if ids is None:
+                        own = array(code, [t.id for t in tokenize(low if plain else "".join([_SHOWN[b] for b in low.encode()]))])
+                        if swap:
+                            own.byteswap()
+                        ids = own.tobytes()
+                    cache[low] = ids
+                if len(word) < len(c):
+                    marks = c[len(word):]
+                    if marks not in cache:
+                        cache[marks] = self._whole([marks])[0]
+                    ids = ids + cache[marks]
+            cache[c] = ids
+        for a in range(0, len(rest), 20_000):
+            cache.update(zip(rest[a:a + 20_000], self._whole(rest[a:a + 20_000]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text; meant for lists of about a million characters."""
         odd = [not self.chunked or _KEEP.search(t) is not None for t in texts]
         whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]))
-        split = [[] if o else self._chunks(t) for t, o in zip(texts, odd, strict=True)]
+        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        fresh = []
-        for c in {c for chunks in split for c in chunks if c not in cache}:
-            known = older.get(c)
-            if known is None:
-                fresh.append(c)
-            else:
-                cache[c] = known
-        for a in range(0, len(fresh), 20_000):
-            cache.update(zip(fresh[a:a + 20_000], self._whole(fresh[a:a + 20_000]), strict=True))
+        cache = self.cache
+        self._learn({c for chunks in split for c in chunks if c not in cache})
         return [next(whole) if o else b"".join([cache[c] for c in chunks]) for o, chunks in zip(odd, split, strict=True)]
 
 
@@ -101,6 +126,7 @@ def splits_on_space(tokenizer) -> bool:
     kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
     plain = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in spec.get("added_tokens", []))
     pattern = (first.get("pattern") or {}).get("Regex", "")
+    plain = plain and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
     return plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and \
         pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
 
