@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import chat, host_suffix, mixing, nbsvm, ngram_join, rp_forest, token_store, toxicity, winnow
+from tallyforge.llm import chat, host_suffix, license_scan, mixing, nbsvm, ngram_join, rp_forest, token_store, toxicity, winnow
 from tallyforge.llm.shared import held_out, small_batches
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -82,6 +82,12 @@ def op3_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_license_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families of every document by its paragraphs."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def _tuned(query):
     """The query in a session with small batches for long texts."""
     @functools.wraps(query)
@@ -93,6 +99,7 @@ def _tuned(query):
 
 
 QUERIES = {
+    "op5_license_paragraphs": _tuned(op5_license_paragraphs),
     "op3_noisy_channel": _tuned(op3_noisy_channel),
     "op4_host_suffix": _tuned(op4_host_suffix),
     "op9_typed_chat": _tuned(op9_typed_chat),
