@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from tallyforge.llm.shared import fresh_name
 from tallyforge.session import checkpoint_frame
 
 WIDTH = 10
@@ -139,13 +140,13 @@ def materialise(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
 
     The plan holds one row per source; it is broadcast when it has at most ``small`` rows and joined by a shuffle otherwise.
     """
-    found = plan(measured(docs), weights, share, most).withColumnRenamed("source", "__s2")
-    found = checkpoint_frame(found.select("__s2", *[F.col(c).alias(f"__{c}") for c in ("certain", "p", "mean", "cut_large", "cut_small")]))
+    own = fresh_name("mix", docs)
+    found = plan(measured(docs), weights, share, most)
+    found = checkpoint_frame(found.select([F.col(c).alias(f"{own}{c}") for c in ("source", "certain", "p", "mean", "cut_large", "cut_small")]))
     side = F.broadcast(found) if found.count() <= small else found
     source = docs["source"].cast("string")
-    size, u = word_count(docs["text"]), draw(docs["doc_id"], source, docs["text"])
-    copies = _copies(size, u, "__").cast("int")
+    copies = _copies(word_count(docs["text"]), draw(docs["doc_id"], source, docs["text"]), own).cast("int")
     return (
-        docs.join(side, source.eqNullSafe(F.col("__s2"))).withColumn("__copies", copies).where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+        docs.join(side, source.eqNullSafe(F.col(f"{own}source"))).withColumn(f"{own}copies", copies).where(F.col(f"{own}copies") > 0)
+        .withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies")))).select(docs.columns)
     )

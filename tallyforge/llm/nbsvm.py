@@ -233,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_train: int = 8000) -
 def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
     """``docs`` with the probability of class 1 of every whole text; null and empty texts are scored as texts without words.
 
-    ``out`` must be a new column name. One pass, no shuffle; repeated rows get equal scores.
+    A column named ``out`` is replaced. One pass, no shuffle; repeated rows get equal scores.
     """
+    docs = docs.drop(out)
     raw = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 

@@ -13,6 +13,14 @@ from tallyforge.session import checkpoint_frame
 BITS = 24
 
 
+def fresh_name(name: str, docs: DataFrame) -> str:
+    """A column name that begins with two underscores and that ``docs`` does not have in any spelling."""
+    name = f"__{name}"
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Send texts to Python in batches of ``rows`` rows, unless the session has a setting of its own; bounds workers' memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -95,7 +103,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFr
         import pandas as pd
         return pd.Series((mask.value[v >> np.uint64(6)] >> (v & np.uint64(63))) & np.uint64(1) != 0)
 
-    flag = "__maybe_out"
+    flag = fresh_name("maybe_out", docs)
     marked = docs.withColumn(flag, F.coalesce(maybe(F.xxhash64(F.col(name).cast("long"))), F.lit(False)))
     stays = marked.where(~F.col(flag)).drop(flag)
     doubt = marked.where(F.col(flag)).drop(flag)
@@ -110,7 +118,7 @@ def one_row_each(docs: DataFrame, name: str) -> DataFrame:
     repeated = checkpoint_frame(docs.groupBy(F.col(name).alias("many_id")).agg(F.count(F.lit(1)).alias("many")).where("many > 1 AND many_id IS NOT NULL").select("many_id"))
     if repeated.isEmpty():
         return docs
-    first = docs.join(repeated, docs[name] == repeated["many_id"]).select(docs.columns).dropDuplicates([name])
+    first = docs.join(repeated, docs[name] == repeated["many_id"], "left_semi").dropDuplicates([name])
     return without_ids(docs, repeated, name).unionByName(first)
 
 

@@ -403,8 +403,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, table: np.ndarray, max_o
 def score(docs: DataFrame, model: Model, table: np.ndarray, out: str = "score") -> DataFrame:
     """``docs`` with the probability of the label for every whole text; null and empty texts have no evidence.
 
-    ``out`` must be a new column name. One pass without a shuffle; repeated rows get equal scores.
+    A column named ``out`` is replaced. One pass without a shuffle; repeated rows get equal scores.
     """
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.slope, model.shift, table))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
