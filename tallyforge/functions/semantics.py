@@ -110,16 +110,21 @@ def epoch_seconds(time: Column) -> Column:
     return F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(1000000)).cast("double")
 
 
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """``df``, or its first ``limit`` rows where the caller asks for a limit."""
+    return df if limit is None else df.limit(limit)
+
+
 def confidence_label(score: Column) -> Column:
     return F.when(score >= 80, "High").when(score >= 60, "Medium").otherwise("Low")
 
 
 def confidence_percent(scores: Column) -> Column:
-    """Mean of an array of scores on a 0..1 or 0..100 scale, as 0..100; 50 when empty."""
+    """Mean of an array of scores on a 0..1 or 0..100 scale, as 0..100, halves to the even number; 50 when empty."""
     unit = F.transform(
         F.filter(scores, lambda s: s.isNotNull()),
         lambda s: clamp(F.when(s > 1, s / F.lit(100.0)).otherwise(s), 0.0, 1.0),
     )
     n = F.size(unit)
     total = F.aggregate(unit, F.lit(0.0), lambda a, s: a + s)
-    return F.when(n > 0, F.round(total / F.greatest(n, F.lit(1)) * 100)).otherwise(F.lit(50.0)).cast("long")
+    return F.when(n > 0, F.rint(total / F.greatest(n, F.lit(1)) * 100)).otherwise(F.lit(50.0)).cast("long")

@@ -31,7 +31,7 @@ def impute_by_group(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     ])
 
 
-def standardize(df: DataFrame, columns: list[str], limit: int = 12, suffix: str = "_scaled") -> DataFrame:
+def standardize(df: DataFrame, columns: list[str], limit: int | None = None, suffix: str = "_scaled") -> DataFrame:
     """Add (x - mean) / population deviation; a constant column becomes 0."""
     columns = columns[:limit]
     row = df.agg(*[
@@ -48,7 +48,7 @@ def standardize(df: DataFrame, columns: list[str], limit: int = 12, suffix: str
     return shifted.select(*[col(c) for c in df.columns], *scaled)
 
 
-def one_hot_top(df: DataFrame, columns: list[str], k: int = 6, limit: int = 8) -> DataFrame:
+def one_hot_top(df: DataFrame, columns: list[str], k: int = 6, limit: int | None = None) -> DataFrame:
     """Add a 0/1 column per frequent value, named ``column_value``; NULL counts as 'Unknown'.
 
     The vocabulary (at most k values per column) is collected, the rows are not.

@@ -104,11 +104,17 @@ def _insight(df: DataFrame, kind: int, position: Column, title: Column, observat
     )
 
 
+def _within(column: str, most: int | None) -> Column:
+    """True for all rows, or up to a rank where the caller sets one."""
+    return F.lit(True) if most is None else F.col(column) <= most
+
+
 def evidence_insights(
     pareto: DataFrame, concentration: DataFrame, distribution: DataFrame, anomalies: DataFrame, movements: DataFrame,
-    key: str = KEY, share: float = 65.0, skew: float = 1.25, limit: int = 12,
+    key: str = KEY, share: float = 65.0, skew: float = 1.25, limit: int | None = None,
+    anomalies_most: int | None = None, movements_most: int | None = None,
 ) -> DataFrame:
-    """At most ``limit`` ranked insights per data set from five kinds of signals."""
+    """Ranked insights per data set from five kinds of signals; at most ``limit`` where the caller asks for it."""
     top_n = F.row_number().over(W.partitionBy(key).orderBy("column"))
     col_label, measure_label = humanize(F.col("column")), humanize(F.col("measure"))
     text = F.col
@@ -138,14 +144,14 @@ def evidence_insights(
             F.lit(0.78), _evidence([(text("column"), text("skew"))]), key,
         ),
         _insight(
-            anomalies.withColumn("_n", top_n).where("_n <= 5"), 3, text("column"), F.concat(F.lit("Anomaly in "), col_label),
+            anomalies.withColumn("_n", top_n).where(_within("_n", anomalies_most)), 3, text("column"), F.concat(F.lit("Anomaly in "), col_label),
             F.concat(text("column"), F.lit(" has "), text("anomaly_count").cast("string"), F.lit(" unusual values detected by iqr.")),
             "Unusual values can distort averages, totals, forecasts, and segment rankings.",
             F.concat(F.lit("Inspect source rows for "), col_label, F.lit(" before using this metric for decisions.")),
             F.lit(0.76), _evidence([(text("column"), text("anomaly_count"))]), key,
         ),
         _insight(
-            movements.withColumn("_n", top_n).where("_n <= 6 AND trend <> 0 AND trend_direction IN ('up', 'down')"), 4, text("column"),
+            movements.withColumn("_n", top_n).where(_within("_n", movements_most)).where("trend <> 0 AND trend_direction IN ('up', 'down')"), 4, text("column"),
             F.concat(text("kpi"), F.lit(" movement")),
             F.concat(text("kpi"), F.when(F.col("trend_direction") == "up", " increased by ").otherwise(" decreased by "),
                      text("trend").cast("string"), F.lit(" based on the detected comparison period.")),
@@ -156,7 +162,7 @@ def evidence_insights(
     ]
     every = reduce(DataFrame.unionByName, parts)
     rank = F.row_number().over(W.partitionBy(key).orderBy("kind", "position"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= limit).drop("kind", "position")
+    return every.withColumn("rank", rank).where(_within("rank", limit)).drop("kind", "position")
 
 
 def score_insights(insights: DataFrame, coverage: Column | float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyforge.functions import lookups as L
 from tallyforge.functions.semantics import (
-    clamp, col, confidence_label, direction, growth, numeric_columns, ratio, text_columns, time_columns,
+    first_rows, clamp, col, confidence_label, direction, growth, numeric_columns, ratio, text_columns, time_columns,
 )
 from tallyforge.functions.text import humanize_name
 from tallyforge.operators import backbone as B, profile as P, trend as TR
@@ -62,7 +62,7 @@ def _empty(df: DataFrame) -> DataFrame:
     )
 
 
-def dynamic_kpis(df: DataFrame, measures: int = 12, dimensions: int = 8, limit: int = 16) -> DataFrame:
+def dynamic_kpis(df: DataFrame, measures: int | None = None, dimensions: int | None = None, limit: int | None = None) -> DataFrame:
     """Totals (means for rates and scores) of measures, distinct counts of dimensions."""
     order = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])[F.col("column")]
     found = P.inspect_dataset(df).withColumn("position", order)
@@ -86,10 +86,9 @@ def dynamic_kpis(df: DataFrame, measures: int = 12, dimensions: int = 8, limit:
     )
     # One row per column of the table: the window is bounded by the header.
     rank = F.row_number().over(W.partitionBy("kind").orderBy("position"))
-    kept = named.withColumn("rank", rank).where(
-        ((F.col("kind") == 0) & (F.col("rank") <= measures)) | ((F.col("kind") == 1) & (F.col("rank") <= dimensions))
-    )
-    return kept.orderBy("kind", "position").limit(limit).select("kpi", "value", "source_columns", "aggregation", "confidence")
+    most = F.when(F.col("kind") == 0, F.lit(measures)).otherwise(F.lit(dimensions))
+    kept = named.withColumn("rank", rank).where(most.isNull() | (F.col("rank") <= most))
+    return first_rows(kept.orderBy("kind", "position"), limit).select("kpi", "value", "source_columns", "aggregation", "confidence")
 
 
 def discovered_kpis(df: DataFrame, time: str | None = None) -> DataFrame:
@@ -256,7 +255,7 @@ def sales_velocity(df: DataFrame, units: str, time: str) -> DataFrame:
     return _rows(df, [("Sales Velocity", ratio(F.sum(col(units)), days), [units, time], 78)])
 
 
-def business_kpis(df: DataFrame, limit: int = 12) -> DataFrame:
+def business_kpis(df: DataFrame, limit: int | None = None) -> DataFrame:
     """All role-based key figures that the columns allow."""
     roles, numbers, time = roles_of(df.columns), numeric_columns(df), choose_time(df)
     parts = [role_totals(df), role_distinct(df), margin(df), average_rates(df), average_order_value(df),
@@ -269,9 +268,9 @@ def business_kpis(df: DataFrame, limit: int = 12) -> DataFrame:
     found = [p.withColumn("_order", F.lit(i)) for i, p in enumerate(parts)]
     all_rows = reduce(DataFrame.unionByName, found)
     if not any(roles.values()) and numbers:
-        items = [(f"{humanize_name(c)} Total", F.sum(col(c)), [c], 70) for c in numbers[:6]]
+        items = [(f"{humanize_name(c)} Total", F.sum(col(c)), [c], 70) for c in numbers]
         all_rows = _rows(df, items).withColumn("_order", F.lit(0))
-    return all_rows.orderBy("_order", F.desc("confidence"), "kpi").limit(limit).drop("_order")
+    return first_rows(all_rows.orderBy("_order", F.desc("confidence"), "kpi"), limit).drop("_order")
 
 
 def enrich_kpis(kpis: DataFrame, trends: DataFrame, forecasts: DataFrame, keys: list[str] = ()) -> DataFrame:

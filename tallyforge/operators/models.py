@@ -10,7 +10,7 @@ from tallyforge.operators.anomaly import imputed
 
 
 def kmeans_segments(
-    df: DataFrame, columns: list[str], keep: list[str] = (), max_k: int = 5, restarts: int = 10, limit: int = 10
+    df: DataFrame, columns: list[str], keep: list[str] = (), max_k: int = 5, restarts: int = 10, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with ``segment``, one-row quality). Segments are numbered by size, largest first.
 
@@ -33,6 +33,7 @@ def kmeans_segments(
     best = min(models, key=lambda m: m.summary.trainingCost)
     labelled = best.transform(vectors)
     silhouette = ClusteringEvaluator().evaluate(labelled)
+    vectors.unpersist()
     order = sorted(range(len(best.summary.clusterSizes)), key=lambda i: (-best.summary.clusterSizes[i], i))
     number = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
     segments = labelled.withColumn("segment", number[F.col("prediction")]).drop("features", "prediction")
@@ -59,7 +60,7 @@ def segment_profile(labelled: DataFrame, columns: list[str], top: int = 4, segme
     return long.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("delta", F.round("delta", 4))
 
 
-def driver_importance(df: DataFrame, columns: list[str], trees: int = 80, limit: int = 12) -> DataFrame:
+def driver_importance(df: DataFrame, columns: list[str], trees: int = 80, limit: int | None = None) -> DataFrame:
     """(rank, feature, importance, target, confidence_score): which numbers predict the first one."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -74,13 +75,13 @@ def driver_importance(df: DataFrame, columns: list[str], trees: int = 80, limit:
         "features", F.col(f"`{target}`").alias("label")
     ).persist()
     forest = RandomForestRegressor(
-        numTrees=trees, seed=42, maxDepth=8, minInstancesPerNode=max(1, rows // 100)
+        numTrees=trees, seed=42, maxDepth=30, minInstancesPerNode=max(1, rows // 100)
     ).fit(data)
     r2 = RegressionEvaluator(metricName="r2").evaluate(forest.transform(data))
     data.unpersist()
     score = int(round(min(0.95, max(0.5, r2)) * 100))
     found = sorted(zip(names, forest.featureImportances.toArray()), key=lambda p: (-p[1], p[0]))
-    out = [(i + 1, n, round(float(v), 4), target, score) for i, (n, v) in enumerate(found[:10])]
+    out = [(i + 1, n, round(float(v), 4), target, score) for i, (n, v) in enumerate(found)]
     return df.sparkSession.createDataFrame(
         out, "rank int, feature string, importance double, target string, confidence_score int"
     )

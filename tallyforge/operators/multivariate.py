@@ -14,13 +14,10 @@ from tallyforge.operators.anomaly import imputed
 from tallyforge.operators.features import standardize
 from tallyforge.session import checkpoint_frame
 
-LIMIT = 12
-
 
 def scaled_matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, columns...) median-imputed and standardised with the population deviation."""
-    columns = columns[:LIMIT]
-    wide = standardize(imputed(df, columns, [key]), columns, LIMIT)
+    wide = standardize(imputed(df, columns, [key]), columns)
     return wide.select(col(key), *[col(f"{c}_scaled").alias(c) for c in columns])
 
 
@@ -57,7 +54,6 @@ def isolation_scores(
     The trees need trees x sample rows, taken by hash of the key so that they do not
     depend on partitioning. They are small, so they travel with the scoring function.
     """
-    columns = columns[:LIMIT]
     matrix = scaled_matrix(df, key, columns)
     drawn = matrix.orderBy(F.xxhash64(col(key), F.lit(seed)), col(key)).limit(trees * sample)
     data = drawn.select(*[col(c) for c in columns]).toPandas().to_numpy(dtype=float)
@@ -107,7 +103,6 @@ def density_noise(
     A cell of side eps / sqrt(d) with enough rows makes all its rows core points at once;
     only the rows of thin cells are searched. The neighbour count includes the row itself.
     """
-    columns = columns[:LIMIT]
     matrix = scaled_matrix(df, key, columns)
     if min_samples is None:
         min_samples = max(3, min(8, df.count() // 10 or 3))
@@ -149,7 +144,6 @@ def local_outlier_factor(df: DataFrame, key: str, columns: list[str], neighbours
     finds a bound on the k-th distance in the row's own leaf, round two searches every
     leaf within that bound.
     """
-    columns = columns[:LIMIT]
     matrix = scaled_matrix(df, key, columns)
     points = checkpoint_frame(distinct_points(matrix, columns))
     total = points.agg(F.sum("weight")).first()[0] or 0
@@ -202,7 +196,6 @@ def local_outlier_factor(df: DataFrame, key: str, columns: list[str], neighbours
 
 def summarize(df: DataFrame, key: str, columns: list[str], flagged: DataFrame, model: str, top: int = 4) -> DataFrame:
     """One row: how many rows a detector flagged and which columns differ most in mean."""
-    columns = columns[:LIMIT]
     marked = imputed(df, columns, [key]).join(flagged.select(col(key), F.lit(True).alias("_hit")), key, "left")
     hit = F.col("_hit").isNotNull()
     shifts = F.array(*[

@@ -8,7 +8,7 @@ from tallyforge.functions import lookups as L
 from tallyforge.functions.semantics import (
     INTEGRAL_TYPES, NUMERIC_TYPES, TIME_TYPES, clamp, col, numeric_columns, percent, text_columns, total_of,
 )
-from tallyforge.functions.text import contains_any
+from tallyforge.functions.text import contains_any, numeric_from_text
 from tallyforge.operators import backbone as B
 
 
@@ -53,7 +53,7 @@ def numeric_kpis(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, columns: list[str] | None = None, limit: int = 20) -> DataFrame:
+def distribution(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
     columns = (columns or numeric_columns(df))[:limit]
     found = B.numeric_summary(df, columns).where("n > 0")
     return found.select(
@@ -298,6 +298,20 @@ def _health_inputs(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _invalid_rate(df: DataFrame, threshold: float = 0.8) -> Column:
+    """Cells that fail to be a number, over all cells of columns meant as numbers: typed ones and texts that mostly parse."""
+    texts = text_columns(df)
+    if not texts:
+        return F.lit(0.0)
+    filled = [F.count(col(c)).cast("double") for c in texts]
+    parsed = [F.count(numeric_from_text(col(c))).cast("double") for c in texts]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.struct(n.alias("n"), k.alias("k")) for n, k in zip(filled, parsed)]).alias("s"))
+    mostly = F.filter("s", lambda x: (x["n"] > 0) & (x["k"] >= threshold * x["n"]))
+    bad = F.aggregate(mostly, F.lit(0.0), lambda a, x: a + x["n"] - x["k"])
+    cells = F.col("rows") * F.greatest(F.lit(1), F.size(mostly) + F.lit(len(numeric_columns(df))))
+    return F.coalesce(counts.select((bad / F.greatest(cells, F.lit(1))).alias("r")).scalar(), F.lit(0.0))
+
+
 def health_score_weighted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Score from missing, duplicate, invalid and outlier-row rates; weights .4 .3 .2 .1."""
     columns = columns or [c for c in numeric_columns(df) if not is_id_name(c)]
@@ -305,8 +319,7 @@ def health_score_weighted(df: DataFrame, columns: list[str] | None = None) -> Da
     rates = _health_inputs(df, columns).select(
         (F.col("missing_cells") / F.greatest(F.col("rows") * F.col("columns"), F.lit(1))).alias("missing_penalty"),
         (F.col("duplicate_rows") / rows).alias("duplicate_penalty"),
-        # Typed columns hold no value that fails to be a number.
-        F.lit(0.0).alias("invalid_penalty"),
+        _invalid_rate(df).alias("invalid_penalty"),
         (F.col("outlier_rows") / rows).alias("outlier_penalty"),
     )
     penalty = (

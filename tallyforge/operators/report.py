@@ -65,8 +65,8 @@ def rank_recommendations(recommendations: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order))
 
 
-def prioritized(insights: DataFrame, limit: int = 8) -> DataFrame:
-    """An action plan per insight by the words of the finding; the best ``limit`` per data set."""
+def prioritized(insights: DataFrame, limit: int | None = None) -> DataFrame:
+    """An action plan per insight by the words of the finding; the best ``limit`` per data set where the caller asks for that."""
     finding = F.lower(F.coalesce("observation", "title"))
     focus = humanize(F.coalesce(F.col("evidence")[0]["kpi"], F.col("title")))
     problem, dependent, growing = (contains_any(finding, w) for w in (L.PROBLEM_WORDS, L.CONCENTRATION_WORDS, L.GROWTH_WORDS))
@@ -89,7 +89,7 @@ def prioritized(insights: DataFrame, limit: int = 8) -> DataFrame:
         confidence_label(score).alias("confidence_label"), F.size("evidence").alias("evidence_count"),
     )
     order = W.partitionBy(KEY).orderBy(F.desc(priority_weight(F.col("expected_impact"))), F.desc("confidence"), "rank")
-    return plan.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return plan.withColumn("place", F.row_number().over(order)).where(F.lit(True) if limit is None else F.col("place") <= limit)
 
 
 def normalize_recommendations(df: DataFrame) -> DataFrame:
@@ -161,21 +161,23 @@ def qa_checks(quality: DataFrame, kpis: DataFrame, insights: DataFrame, plans: D
     return checks.withColumn("passed", passed)
 
 
-def _top(df: DataFrame, order: list, n: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(KEY).orderBy(*order))).where(F.col("_n") <= n)
+def _top(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(KEY).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col("_n") <= n)
 
 
-def advisor_actions(anomalies: DataFrame, forecasts: DataFrame, plans: DataFrame, limit: int = 8) -> DataFrame:
-    """The best actions from anomalies (4), forecasts (4) and recommendations (6) per data set."""
+def advisor_actions(anomalies: DataFrame, forecasts: DataFrame, plans: DataFrame, limit: int | None = None,
+                    most: tuple[int | None, int | None, int | None] = (None, None, None)) -> DataFrame:
+    """Ranked actions from anomalies, forecasts and recommendations per data set; ``most`` limits each kind and ``limit`` all."""
     def act(df: DataFrame, source: str, title: Column, score: Column, priority: Column | None = None) -> DataFrame:
         level = F.when(score >= 85, "High").when(score >= 65, "Medium").otherwise("Low")
         return df.select(KEY, humanize(title).alias("title"), score.cast("long").alias("confidence"),
                          (level if priority is None else priority).alias("priority"), F.lit(source).alias("source"))
 
     parts = [
-        act(_top(anomalies, [F.desc("confidence"), F.asc("column")], 4), "anomaly_engine", F.col("column"), F.col("confidence")),
-        act(_top(forecasts, [F.asc("column")], 4), "forecast_engine", F.col("column"), F.col("confidence_score")),
-        act(plans.where("place <= 6"), "recommendation_engine", F.col("title"), F.col("confidence")),
+        act(_top(anomalies, [F.desc("confidence"), F.asc("column")], most[0]), "anomaly_engine", F.col("column"), F.col("confidence")),
+        act(_top(forecasts, [F.asc("column")], most[1]), "forecast_engine", F.col("column"), F.col("confidence_score")),
+        act((plans if most[2] is None else plans.where(F.col("place") <= most[2])), "recommendation_engine", F.col("title"), F.col("confidence")),
     ]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     order = [F.desc(priority_weight(F.col("priority"))), F.desc("confidence"), F.asc("source"), F.asc("title")]

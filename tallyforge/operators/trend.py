@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyforge.functions.ordered import bucketed_previous
 from tallyforge.functions.quantile import exact_median_time
-from tallyforge.functions.semantics import col, direction, epoch_seconds, growth, ratio
+from tallyforge.functions.semantics import col, direction, epoch_seconds, first_rows, growth, ratio
 from tallyforge.operators import backbone as B
 
 LABELS = {"W": "WoW", "M": "MoM", "Q": "QoQ", "Y": "YoY"}
@@ -47,7 +47,7 @@ def growth_table(daily: DataFrame, measures: list[str], by: list[str] = ()) -> D
 
 
 def period_growth(
-    df: DataFrame, time: str, measures: list[str], by: list[str] = (), limit: int = 5
+    df: DataFrame, time: str, measures: list[str], by: list[str] = (), limit: int | None = None
 ) -> DataFrame:
     """Last against previous week, month, quarter and year per measure: one scan for all four."""
     measures = measures[:limit]
@@ -56,14 +56,13 @@ def period_growth(
 
 
 def trend_cards(
-    df: DataFrame, measures: list[str], time: str | None = None, dimension: str | None = None, limit: int = 6
+    df: DataFrame, measures: list[str], time: str | None = None, dimension: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Short cards: growth over time, else leader against runner-up, else the value range."""
     if time:
-        measures = measures[:5]
         order = F.create_map(*[x for i, m in enumerate(measures) for x in (F.lit(m), F.lit(i))])[F.col("measure")]
         found = growth_table(B.time_series(df, time, measures, "D"), measures)
-        return found.orderBy("grain_order", order).limit(limit).select(
+        return first_rows(found.orderBy("grain_order", order), limit).select(
             F.concat_ws(" ", "measure", "grain").alias("label"), F.round("current", 2).alias("value"),
             F.round("previous", 2).alias("previous"),
             F.coalesce("growth_percent", F.lit(0.0)).alias("trend"), F.col("direction").alias("trend_direction"),
@@ -177,14 +176,14 @@ def seasonality(df: DataFrame, time: str, measure: str, by: list[str] = ()) -> D
     )
 
 
-def cohorts(df: DataFrame, customer: str, time: str, top: int = 6) -> DataFrame:
+def cohorts(df: DataFrame, customer: str, time: str, top: int | None = None) -> DataFrame:
     """Rows per month of first activity; two combinable aggregations instead of a window per customer."""
     per = df.where(col(time).isNotNull() & col(customer).isNotNull()).groupBy(col(customer)).agg(
         F.min(col(time)).alias("first"), F.count(F.lit(1)).alias("rows")
     )
-    return per.groupBy(F.date_format("first", "yyyy-MM").alias("cohort_month")).agg(
+    return first_rows(per.groupBy(F.date_format("first", "yyyy-MM").alias("cohort_month")).agg(
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("customers")
-    ).orderBy(F.desc("rows"), F.asc("cohort_month")).limit(top)
+    ).orderBy(F.desc("rows"), F.asc("cohort_month")), top)
 
 
 def with_pct_change(
@@ -265,8 +264,8 @@ def change_driver(df: DataFrame, time: str, measure: str, dimension: str) -> Dat
     )
 
 
-def date_parts(df: DataFrame, columns: list[str], limit: int = 3) -> DataFrame:
-    """Add year, month and weekday (Monday = 0) of up to three time columns."""
+def date_parts(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Add year, month and weekday (Monday = 0) of time columns."""
     extra = []
     for c in columns[:limit]:
         extra += [

@@ -40,8 +40,7 @@ def usage_metering(events: DataFrame, periods: tuple[str, ...] = ("daily", "mont
 
 def quota_check(events: DataFrame, limits: DataFrame, premium: DataFrame | None = None) -> DataFrame:
     """Used against the limit of each feature; users in ``premium`` are unlimited."""
-    feature_limits = F.broadcast(limits)
-    metered = usage_metering(events).join(feature_limits, ["feature", "period"])
+    metered = usage_metering(events).join(limits, ["feature", "period"])
     if premium is not None:
         marked = premium.select("user_id", F.lit(True).alias("_premium")).distinct()
         metered = metered.join(marked, "user_id", "left")

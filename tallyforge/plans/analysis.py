@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tallyforge.functions.semantics import numeric_columns, text_columns
+from tallyforge.functions.semantics import NUMERIC_TYPES, TIME_TYPES, numeric_columns, text_columns
 from tallyforge.operators import (
     anomaly as A, catalog as CA, charts as CH, forecast as FO, grouped as G, insight as I, kpi as K, models as MO,
     multivariate as M, normalize as N, profile as P, report as R, trend as TR,
@@ -76,13 +76,13 @@ def run_analysis(
     if measure and dimension:
         out.add("pareto", lambda: G.pareto(data, dimension, measure))
     if time and numbers:
-        out.add("trend_engine", lambda: TR.period_growth(data, time, numbers, limit=12))
+        out.add("trend_engine", lambda: TR.period_growth(data, time, numbers))
         out.add("trend_cards", lambda: TR.trend_cards(data, numbers, time))
         out.add("linear_trend", lambda: TR.linear_trend(data, time, numbers))
-        out.add("anomalies", lambda: A.rule_anomalies(data, order_by or [time], F.to_date(time), numbers))
+        out.add("anomalies", lambda: A.rule_anomalies(*_ordered(data, order_by or [time]), numbers))
         out.add("seasonality", lambda: TR.seasonality(data, time, measure))
-        out.add("forecast", lambda: FO.forecast(data, time, numbers[:6]))
-        out.add("line", lambda: CH.line(data, time, numbers[:6]))
+        out.add("forecast", lambda: FO.forecast(data, time, numbers))
+        out.add("line", lambda: CH.line(data, time, numbers))
         customer = next(iter(K.roles_of(data.columns)["Customers"]), None)
         if customer:
             out.add("cohorts", lambda: TR.cohorts(data, customer, time))
@@ -100,6 +100,21 @@ def run_analysis(
     return out
 
 
+def _ordered(data: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str], Column]:
+    """The table with a hash of the row as last tie breaker, its total order, and buckets that rise with the first order column."""
+    first = data.schema[order_by[0]].dataType
+    keyed = data.withColumn("_tie", F.xxhash64(*data.columns))
+    name = F.col(f"`{order_by[0]}`")
+    if isinstance(first, TIME_TYPES):
+        bucket = F.to_date(name)
+    else:
+        # about a thousand ranges between quantiles of the column
+        cuts = data.agg(F.percentile_approx(name.cast("double"), [k / 1000 for k in range(1, 1000)], 10_000).alias("c")).first()["c"] \
+            if isinstance(first, NUMERIC_TYPES) else None
+        bucket = F.width_bucket(name.cast("double"), F.lit(float(cuts[0])), F.lit(float(cuts[-1])), F.lit(1000)) if cuts and cuts[0] < cuts[-1] else F.lit(0)
+    return keyed, [*order_by, "_tie"], bucket
+
+
 def _ranked(battery: DataFrame) -> DataFrame:
     """The battery of one table (some dozens of rows) with its rank."""
     rank = F.row_number().over(W.partitionBy("dataset_id").orderBy("section", "title"))

@@ -202,7 +202,7 @@ def weakest(df: DataFrame, dimension: str, measure: str | None) -> DataFrame:
 
 
 def top_n(df: DataFrame, dimension: str, measure: str, n: int) -> DataFrame:
-    found = G.top_n(df, dimension, measure, n)
+    found = G.top_n(df, dimension, measure, max(1, min(25, n)))
     text = _fmt("%d. %s: %.2f (%.1f%% of the top total)", F.col("rank"), F.col("label"), F.col("amount"), F.col("share"))
     return _answer(found, "top_n", F.col("label"), F.col("amount"), F.col("share"), text)
 

@@ -150,8 +150,8 @@ def kpi13(spark, sf):
 
 
 @query("kpi15_combine_confidence", """
-    SELECT event_id, round((least(1, CASE WHEN value > 1 THEN value / 100 ELSE greatest(value, 0) END)
-                            + least(1, (event_id % 120) / CASE WHEN event_id % 120 > 1 THEN 100e0 ELSE 1e0 END)) / 2 * 100)::BIGINT AS confidence
+    SELECT event_id, round_even((least(1, CASE WHEN value > 1 THEN value / 100 ELSE greatest(value, 0) END)
+                            + least(1, (event_id % 120) / CASE WHEN event_id % 120 > 1 THEN 100e0 ELSE 1e0 END)) / 2 * 100, 0)::BIGINT AS confidence
     FROM events""")
 def kpi15(spark, sf):
     e = Tables(spark, sf).events
@@ -213,7 +213,7 @@ def trd2b(spark, sf):
 
 @query("trd3_trend_cards", sql("daily", _GROWTH + """
     SELECT measure || ' ' || grain AS label, round(v, 2) AS value, round(p, 2) AS previous, coalesce(growth, 0) AS trend,
-           direction AS trend_direction FROM t ORDER BY o, measure LIMIT 6"""))
+           direction AS trend_direction FROM t ORDER BY o, measure"""))
 def trd3(spark, sf):
     return TR.trend_cards(Tables(spark, sf).sales, ["quantity", "revenue"], "order_date")
 
@@ -281,7 +281,7 @@ def trd8(spark, sf):
 
 @query("trd9_cohorts", sql("sales", """
     , c AS (SELECT customer_name, strftime(min(order_date) OVER (PARTITION BY customer_name), '%Y-%m') AS m FROM sales)
-    SELECT m AS cohort_month, count(*) AS rows, count(DISTINCT customer_name) AS customers FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6"""))
+    SELECT m AS cohort_month, count(*) AS rows, count(DISTINCT customer_name) AS customers FROM c GROUP BY 1 ORDER BY 2 DESC, 1"""))
 def trd9(spark, sf):
     return TR.cohorts(Tables(spark, sf).sales, "customer_name", "order_date")
 

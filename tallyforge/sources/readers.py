@@ -66,18 +66,31 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_excel_folder(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """First sheet of every .xlsx below ``path``; files are spread over tasks, all values are text.
 
-    Columns default to the header of the first file. ``source_file`` tells the
-    files apart.
+    Columns default to the headers of all files, in the order of files and of columns in
+    them; a file without a column has NULL there. ``source_file`` tells the files apart.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     if columns is None:
-        head = files.orderBy("path").limit(1).collect()
-        if not head:
+        columns = header_union(files)
+        if not columns:
             raise ValueError("Dataset is empty or has no columns.")
-        columns = next(sheet_rows(bytes(head[0]["content"])))
     return parse_workbooks(files, columns)
 
 
+def header_union(files: DataFrame) -> list[str]:
+    """All column names of workbooks, by file and place. Headers are read in tasks; only distinct names reach the driver."""
+    def names(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame([(file, k, name) for file, content in zip(batch["path"], batch["content"])
+                                for k, name in enumerate(next(sheet_rows(bytes(content)), []))], columns=["file", "place", "name"])
+
+    found = files.mapInPandas(names, "file string, place int, name string")
+    first = found.groupBy("name").agg(F.min(F.struct("file", "place")).alias("at")).orderBy("at", "name")
+    return [r["name"] for r in first.collect()]
+
+
 def parse_workbooks(files: DataFrame, columns: list[str]) -> DataFrame:
     """(source_file, columns...) from rows of ``path`` and workbook ``content``; a workbook is read as a stream."""
     names = list(columns)
