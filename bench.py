@@ -19,6 +19,7 @@ HEADLINE = [
     "kpi3_role_totals", "kpi4_role_distinct", "trd2_period_growth", "trd5_linear_trend",
     "trd10_pct_change_spikes", "trd12_change_driver", "agg1_group_sum_rank", "agg4_concentration", "agg7_correlation_matrix",
     "anm3_rule_anomalies", "cht1_histogram",
+    "prf12_inspect_dataset", "ml12_forecast_many", "cln5_clean_dataset",
     "qa7_top_n", "j4_latest_per_key", "u2_quota_check", "u4_rate_limit_exact", "txt2_language_purity",
 ]
 

@@ -12,7 +12,7 @@ from tallyforge.operators import (
     anomaly as A, catalog as CA, charts as CH, forecast as FO, grouped as G, insight as I, kpi as K, models as MO,
     multivariate as M, normalize as N, profile as P, report as R, trend as TR,
 )
-from tallyforge.session import checkpoint_frame
+from tallyforge.session import checkpoint_frame, staged_table
 
 
 @dataclass
@@ -24,8 +24,9 @@ class Analysis:
     status: dict[str, str] = field(default_factory=dict)
 
     def add(self, name: str, build: Callable[[], DataFrame]) -> None:
+        """Compute a section; its rows (few, as all sections are aggregates) are kept in the checkpoint folder."""
         try:
-            self.sections[name] = build()
+            self.sections[name] = checkpoint_frame(build())
             self.status[name] = "ok"
         except Exception as exc:  # one failed stage must not hide the others
             self.status[name] = f"failed: {exc}"
@@ -37,15 +38,15 @@ def run_analysis(
 ) -> Analysis:
     """Profile, quality, key figures, trends, anomalies, forecasts, insights and advice for ``df``.
 
-    All rows are used. The table is checkpointed once because some thirty sections read
-    it; the sections themselves stay lazy. ``order_by`` (default: the time column) orders
-    rows for sudden moves, ``key`` names rows for the model-based detectors.
+    All rows are used. The table is written once as Parquet because some thirty sections read columns of
+    it; a section is computed when it is added, so its status tells how it ended. ``order_by`` (default: the time
+    column) orders rows for sudden moves, with a hash of the row for ties; ``key`` names rows for the model-based detectors.
     """
     repeated: list[str] = []
     if infer_types:
         df, report = N.normalize(df)
         repeated = report["duplicate_columns"]
-    data = checkpoint_frame(df)
+    data = staged_table(df)
     out = Analysis(dataset_id)
     numbers = [c for c in numeric_columns(data) if not P.is_id_name(c)]
     texts = text_columns(data)
@@ -91,7 +92,7 @@ def run_analysis(
         out.add("drivers", lambda: MO.driver_importance(data, numbers))
         if key:
             out.add("isolation_forest", lambda: M.summarize(data, key, numbers, M.isolation_forest(data, key, numbers), "Isolation Forest"))
-    out.add("insights", lambda: checkpoint_frame(_ranked(I.insight_battery(data, time, dataset_id))))
+    out.add("insights", lambda: _ranked(I.insight_battery(data, time, dataset_id)))
     if "insights" in out.sections:
         scored = I.score_insights(out.sections["insights"])
         out.add("scored_insights", lambda: I.render_modes(scored))

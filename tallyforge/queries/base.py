@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.functions.text import humanize
+from tallyforge.session import scratch_folder
 from tallyforge.sources.readers import read_table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -173,14 +172,4 @@ def sql(views: str, body: str) -> str:
     return f"WITH {head}{body if body.startswith(',') else ' ' + body}"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder for files a query writes and reads back: shared on a cluster, temporary elsewhere."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    return tempfile.mkdtemp(prefix="tallyforge-")
-
-
 __all__ = ["REGISTRY", "Tables", "VIEWS", "humanize", "query", "scratch_folder", "sql"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +50,20 @@ def checkpoint_frame(df):
             folder = tempfile.mkdtemp(prefix="tallyforge-ckpt-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder for files a job writes and reads back: shared on a cluster, temporary elsewhere."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+    return tempfile.mkdtemp(prefix="tallyforge-")
+
+
+def staged_table(df):
+    """``df`` written once as Parquet in the shared folder and read back, so that later scans read only their columns."""
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.withColumns({c: df[f"`{c}`"].cast("string") for c, kind in df.dtypes if kind == "void"}).write.parquet(path)
+    return df.sparkSession.read.parquet(path)

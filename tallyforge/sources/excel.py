@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def _column_index(reference: str) -> int:
@@ -18,6 +20,38 @@ def _column_index(reference: str) -> int:
     return index - 1
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The file of the sheet that the workbook lists first; where it lists none, the sheet file of the smallest number."""
+    names = book.namelist()
+    try:
+        listed = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}sheets")[0]
+        links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+        target = next(x.get("Target") for x in links if x.get("Id") == listed.get(f"{_LINK}id"))
+        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        if path in names:
+            return path
+    except (KeyError, TypeError, IndexError, StopIteration):
+        pass
+    return min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: int(re.sub(r"\D", "", n) or 0))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in root.iter(f"{_NS}numFmt")}
+    dates = {*range(14, 23), *range(45, 48)} | {k for k, code in own.items() if re.search("[ymdhs]", code.lower())}
+    formats = root.find(f"{_NS}cellXfs")
+    return set() if formats is None else {k for k, x in enumerate(formats) if int(x.get("numFmtId") or 0) in dates}
+
+
+def _as_date(number: str, base: datetime.datetime) -> str:
+    """The ISO text of a serial day number; a whole number has no time."""
+    moment = base + datetime.timedelta(seconds=round(float(number) * 86400))
+    return moment.strftime("%Y-%m-%d" if float(number).is_integer() else "%Y-%m-%d %H:%M:%S")
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     """Yield the rows of the first sheet as lists of text values, header first."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -26,8 +60,10 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in item.iter(f"{_NS}t")) for item in root.iter(f"{_NS}si")]
-        sheet = sorted(n for n in names if n.startswith("xl/worksheets/sheet"))[0]
-        with book.open(sheet) as stream:
+        dates = _date_styles(book)
+        since_1904 = b'date1904="1"' in book.read("xl/workbook.xml") if "xl/workbook.xml" in names else False
+        base = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 30)
+        with book.open(_first_sheet(book)) as stream:
             for _, element in ElementTree.iterparse(stream):
                 if element.tag != f"{_NS}row":
                     continue
@@ -43,6 +79,8 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                         text = None if node is None else node.text
                         if text is not None and kind == "s":
                             text = shared[int(text)]
+                        elif text is not None and kind in (None, "n") and int(cell.get("s") or 0) in dates:
+                            text = _as_date(text, base)
                     row[at] = text
                 yield row
                 element.clear()
