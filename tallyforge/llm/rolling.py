@@ -8,6 +8,7 @@ bounds memory by the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,15 @@ for _low, _high, _shift in ((48, 57, 0), (65, 90, 32), (97, 122, 0), (128, 255,
     _LOWER[_low:_high + 1] = np.arange(_low, _high + 1) + _shift
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on for later stages, beside the JVM of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -119,4 +129,4 @@ def batch_pieces(column) -> Iterator[tuple[int, int, Words]]:
     buf, offsets = text_buffer(column)
     for i, j, part, own in pieces(buf, offsets):
         yield i, j, Words(part, own)
-    pa.default_memory_pool().release_unused()
+    release()

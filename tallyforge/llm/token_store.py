@@ -16,6 +16,7 @@ accuracy moves only the sizes of parts.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -28,10 +29,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.rolling import pieces, text_buffer
+from tallyforge.llm.rolling import pieces, release, text_buffer
 
 BLOCK = 1 << 20
-CACHE = 150_000
+CACHE = 100_000
 _KEEP = re.compile("[\x1c-\x1f]")
 # U+0130 becomes two characters in lower case
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
@@ -131,11 +132,6 @@ def splits_on_space(tokenizer) -> bool:
         pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
 
 
-def _encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker."""
-    if getattr(_encoder, "path", None) != path:
-        _encoder.own, _encoder.path = WordEncoder(path), path
-    return _encoder.own
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 4000, size: int = 1 << 16) -> bytes:
@@ -150,9 +146,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
         return b""
 
     def ids(batches):
+        own = WordEncoder(tokenizer)
+        width = own.width
         for batch in batches:
-            width = _encoder(tokenizer).width
-            got = [r for part in _slices(batch) for r in _encoder(tokenizer).encode(part.column("text").to_pylist())]
+            got = [r for part in _slices(batch) for r in own.encode(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([r[:1000 * width] for r in got], pa.binary())], ["h", "ids"])
 
     rows = picked.where(F.col("h") <= lowest).mapInArrow(ids, "h long, ids binary").orderBy("h", "ids").limit(sample).collect()
@@ -168,7 +165,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     _, offsets = text_buffer(batch.column("text"))
     for i, j, _, _ in pieces(np.zeros(0, np.uint8), offsets):
         yield batch.slice(i, j - i)
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def _compressor(raw: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
@@ -192,7 +189,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     def encode(batches):
-        own, (pack, _) = _encoder(tokenizer), _compressor(shared.value)
+        own, (pack, _) = WordEncoder(tokenizer), _compressor(shared.value)  # one encoder per task: its cache must not outlive it
         end = np.array([end_id], own.kind).tobytes()
         for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column("doc_id").to_pylist()
@@ -200,6 +197,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
             got = [r + end for r in own.encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids, pa.int64()), pa.array([len(r) // own.width for r in got], pa.int32()),
                                               pa.array([pack.compress(r) for r in got], pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
+        del own
+        gc.collect()
+        release()
 
     frames = docs.mapInArrow(encode, "part int, doc_id long, n_tokens int, frame binary")
     frames = frames.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
@@ -288,6 +288,7 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
                         pa.array([row["part"]] * len(some), pa.int32()), pa.array([row["doc_ids"][k] for k in some], pa.int64()),
                         pa.array([row["starts"][k] for k in some], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                         ["part", "doc_id", "start", "n_tokens", "ids"])
+            release()
 
     rows = blocks.drop("first_doc", "last_doc").mapInArrow(decode, "part int, doc_id long, start long, n_tokens long, ids binary")
     before = spark.read.parquet(f"{path}/parts").select("part", "before")  # one row per part: bounded by the number of parts
