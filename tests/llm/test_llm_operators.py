@@ -204,6 +204,23 @@ def test_pages_keep_the_article(spark):
     assert host_suffix.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copied_pages_keep_their_text(spark):
+    """Copies, mirrors and crawls of a page are one page; repeats never touch a marked article."""
+    nav = " ".join(f"menu{k}" for k in range(30))
+    own = {k: prose(k, 60, 5000) for k in range(70, 76)}
+    plain = f"<body><div>{own[70]}</div><div>{own[71]}</div></body>"
+    inside = f"<p>{own[72]}</p><ul><li>{own[73]}</li></ul><table><tr><td>{own[74]}</td></tr></table><div>{own[75]}</div>"
+    rows = [(1, "http://a.example/1", plain), (2, "http://a.example/2", plain.replace("<body>", "<body>\n ")), (3, "http://www.a.example/1", plain),
+            (4, "http://a.example/4", f"<nav>{nav}</nav><article>{inside}</article>"), (5, "http://a.example/5", f"<nav>{nav}</nav><article>{inside}</article>"),
+            (6, "http://a.example/6", f"<article>{inside}<p>more</p></article>"), (7, "http://a.example/7", f"<body>{inside}</body>"),
+            (8, "http://a.example/8", f"<body><div>{nav}</div><div>{prose(76, 60, 5000)}</div></body>")]
+    got = {r.page_id: r.text for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    article = "\n".join(own[k] for k in range(72, 76))
+    assert got[1] == got[2] == got[3] == f"{own[70]}\n{own[71]}"
+    assert got[4] == got[5] == got[7] == article and got[6] == article + "\nmore"
+    assert got[8] == prose(76, 60, 5000)  # what markup drops elsewhere is still boilerplate
+
+
 def test_licences(spark):
     lines = {1: ("Released under the MIT License.", "mit"), 2: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 3: ("All rights reserved.", "proprietary"),
              4: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 5: ("Licensed under the Apache License, Version 2.0.", "apache")}
