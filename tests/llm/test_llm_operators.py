@@ -221,6 +221,12 @@ def test_copied_pages_keep_their_text(spark):
     assert got[8] == prose(76, 60, 5000)  # what markup drops elsewhere is still boilerplate
 
 
+def test_a_head_ends_where_the_body_begins():
+    for opened in ("<head><title>t</title><meta charset=utf-8><body><p>", "<head><link rel=x><p>", "<HEAD><style>p {}</style>\n", "<head></head><body>", "<head><title>t</title></head><p>"):
+        assert host_suffix.blocks_of(f"<html>{opened}main text</p></html>") == (False, ["main text"], [])
+    assert host_suffix.blocks_of("<head><title>t</title><article><h1>a</h1></article>b") == (True, ["a"], ["b"])
+
+
 def test_licences(spark):
     lines = {1: ("Released under the MIT License.", "mit"), 2: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 3: ("All rights reserved.", "proprietary"),
              4: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 5: ("Licensed under the Apache License, Version 2.0.", "apache")}
