@@ -303,7 +303,7 @@ def j1(spark, sf):
     SELECT o_orderkey AS ticket_id, u.user_id, email, o_orderstatus AS status FROM orders JOIN users u ON o_custkey = u.user_id WHERE o_orderstatus = 'F'"""))
 def j2(spark, sf):
     t = Tables(spark, sf)
-    tickets = t.orders.where("o_orderstatus = 'F'").select(
+    tickets = t.orders.select(
         F.col("o_orderkey").alias("ticket_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
     return RL.tickets_with_users(tickets, users(t)).drop("created_at")
 
@@ -334,7 +334,7 @@ def j5(spark, sf):
     SELECT upload_id, filename, summary, upload_id % 100 = 0 AS pinned FROM uploads WHERE lower(filename) LIKE '%urgent%' OR lower(summary) LIKE '%urgent%'
     ORDER BY pinned DESC, created_at DESC, upload_id DESC LIMIT 50"""))
 def j5b(spark, sf):
-    found = RL.search_history(uploads(Tables(spark, sf)), "URGENT", F.col("upload_id") % 100 == 0, limit=50)
+    found = RL.search_history(uploads(Tables(spark, sf)), "URGENT", F.col("upload_id") % 100 == 0)
     return found.select("upload_id", "filename", "summary", "pinned")
 
 
