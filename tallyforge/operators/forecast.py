@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyforge.functions.semantics import col, growth
 from tallyforge.operators import backbone as B
+from tallyforge.session import checkpoint_frame
 
 HORIZON = 30
 
@@ -68,36 +71,49 @@ def linear_candidates(points: DataFrame, by: list[str] = (), steps: int = HORIZO
     )
 
 
-def tree_candidates(points: DataFrame, measure: str, model: str = "forest", steps: int = HORIZON, trees: int = 80) -> DataFrame:
-    """A random forest or boosted trees on the time index of one series.
+def tree_forecast(points: DataFrame, model: str = "forest", steps: int = HORIZON, trees: int = 80) -> DataFrame:
+    """(measure, model, step, period, current_value, predicted_value, confidence): a random forest or boosted trees on the time index of every series.
 
-    The series is already aggregated to days; it is sorted before the fit so that the
-    bootstrap does not depend on partitioning.
+    Series of fewer than 8 points have none. A series is already aggregated to days, so it fits in one partition: the bootstrap
+    does not depend on partitioning, and every day can be a split (beyond the last day a tree gives its last leaf).
     """
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    one = points.where(F.col("measure") == measure).select("measure", "x", "y")
+    known = checkpoint_frame(points.where(F.col("y").isNotNull()).select("measure", "start", "x", "y"))
     assemble = VectorAssembler(inputCols=["x"], outputCol="features")
-    data = assemble.transform(one).orderBy("x")
-    if model == "forest":
-        learner = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=12, maxBins=64, seed=42)
-    else:
-        learner = GBTRegressor(labelCol="y", maxIter=trees, maxDepth=5, seed=42)
-    fitted = learner.fit(data)
-    if model == "forest":
-        r2 = RegressionEvaluator(labelCol="y", metricName="r2").evaluate(fitted.transform(data))
-        confidence = F.lit(max(0.0, min(1.0, r2)))
-    else:
-        confidence = F.lit(0.78)
-    ends = one.groupBy("measure").agg(F.max("x").alias("last_x"), F.max_by("y", "x").alias("current_value"))
-    future = assemble.transform(ends.withColumn("x", F.col("last_x") + F.lit(float(steps))))
     name = {"forest": "Random Forest", "boosted": "Gradient Boosted Trees"}[model]
-    return fitted.transform(future).select(
-        "measure", F.lit(name).alias("model"), "current_value", F.col("prediction").alias("predicted_value"),
-        confidence.alias("confidence"),
-    )
+    found = []
+    for measure, n in known.groupBy("measure").count().where("count >= 8").orderBy("measure").collect():
+        one = known.where(F.col("measure") == measure)
+        data = assemble.transform(one).orderBy("x").coalesce(1).persist()
+        if model == "forest":
+            learner = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=30, maxBins=max(32, n), seed=42)
+        else:
+            learner = GBTRegressor(labelCol="y", maxIter=trees, maxDepth=5, maxBins=max(32, n), seed=42)
+        fitted = learner.fit(data)
+        confidence = 0.78
+        if model == "forest":
+            confidence = max(0.0, min(1.0, RegressionEvaluator(labelCol="y", metricName="r2").evaluate(fitted.transform(data))))
+        data.unpersist()
+        ends = one.agg(F.max("start").alias("last"), F.max("x").alias("last_x"), F.max_by("y", "x").alias("current_value"))
+        ahead = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("x", F.col("last_x") + F.col("step"))
+        found.append(fitted.transform(assemble.transform(ahead)).select(
+            F.lit(measure).alias("measure"), F.lit(name).alias("model"), "step", F.date_add(F.col("last").cast("date"), F.col("step")).alias("period"),
+            "current_value", F.col("prediction").alias("predicted_value"), F.lit(confidence).alias("confidence"),
+        ))
+    if not found:
+        return points.sparkSession.createDataFrame(
+            [], "measure string, model string, step int, period date, current_value double, predicted_value double, confidence double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def forecast_candidates(points: DataFrame, steps: int = HORIZON, trees: int = 80) -> DataFrame:
+    """(measure, model, current_value, predicted_value, confidence) of the linear, forest and boosted models after ``steps`` days."""
+    columns = ["measure", "model", "current_value", "predicted_value", "confidence"]
+    grown = [tree_forecast(points, model, steps, trees).where(F.col("step") == steps) for model in ("forest", "boosted")]
+    return reduce(DataFrame.unionByName, [f.select(*columns) for f in [linear_candidates(points, steps=steps), *grown]])
 
 
 def select_forecast(candidates: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge.functions import lookups as L
 from tallyforge.operators import catalog as CA, features as FE, forecast as FO, models as MO
 from tallyforge.queries.base import VIEWS, Tables, query, sql
+from tallyforge.session import checkpoint_frame
 
 # Header names that orders are taken to describe: (name, data type).
 HEADERS = [
@@ -191,12 +192,12 @@ def _points(spark, sf) -> DataFrame:
 
 @query("ml9_forest_forecast")
 def ml9(spark, sf):
-    return FO.tree_candidates(_points(spark, sf), "revenue", "forest")
+    return FO.tree_forecast(_points(spark, sf), "forest")
 
 
 @query("ml10_boosted_forecast")
 def ml10(spark, sf):
-    return FO.tree_candidates(_points(spark, sf), "revenue", "boosted", trees=20)
+    return FO.tree_forecast(_points(spark, sf), "boosted")
 
 
 @query("ml11_select_forecast", sql("daily", _DAYS + _fit_sql("measure") + """
@@ -206,11 +207,7 @@ def ml10(spark, sf):
     SELECT measure, model, round(c, 2) AS current_value, round(v, 2) AS predicted_value, round((v - c) / abs(c) * 100, 2) AS change_percent,
            round(conf * 100)::BIGINT AS confidence_score FROM k WHERE i = 1"""))
 def ml11(spark, sf):
-    points = _points(spark, sf)
-    mean = points.groupBy("measure").agg(
-        F.lit("Recent mean").alias("model"), F.max_by("y", "x").alias("current_value"), F.avg("y").alias("predicted_value"),
-    ).withColumn("confidence", F.when(F.col("measure") == "revenue", 0.7).otherwise(0.4))
-    return FO.select_forecast(FO.linear_candidates(points).unionByName(mean))
+    return FO.select_forecast(FO.forecast_candidates(checkpoint_frame(_points(spark, sf))))
 
 
 @query("ml12_forecast_many", sql("supplier_lines", """

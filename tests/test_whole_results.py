@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from oracle import connect, rows_of
+from pyspark.sql import functions as F
 
-from tallyforge.queries import REGISTRY
+from tallyforge.operators import forecast as FO
+from tallyforge.queries import REGISTRY, model_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,3 +26,37 @@ def test_search_returns_every_match(spark):
         ORDER BY o_orderkey % 100 = 0 DESC, o_orderdate DESC, o_orderkey DESC""").fetchall()
     got = REGISTRY["j5_search_history"][0](spark, FOLDER).collect()
     assert [r.upload_id for r in got] == [k for k, in want] and len(want) > 50
+
+
+@pytest.fixture
+def points(spark, monkeypatch):
+    """Two series of 60 days; of the second only the last two days are high."""
+    days = spark.range(60).select(F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).cast("timestamp").alias("start"), F.col("id").cast("double").alias("x"))
+    found = days.select(F.lit("a").alias("measure"), "start", "x", (F.col("x") * 2).alias("y")).unionByName(
+        days.select(F.lit("b").alias("measure"), "start", "x", F.when(F.col("x") >= 58, 500.0).otherwise(F.col("x") % 7).alias("y")))
+    monkeypatch.setattr(model_queries, "_points", lambda spark, sf: found)
+    return found
+
+
+def test_tree_forecasts_have_every_step_of_every_measure(spark, points, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    asked, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, *a: asked.append(self.getMaxIter()) or fit(self.setMaxIter(2), *a))
+    for name in ("ml9_forest_forecast", "ml10_boosted_forecast"):
+        got = REGISTRY[name][0](spark, FOLDER).collect()
+        assert sorted((r.measure, r.step) for r in got) == [(m, k) for m in "ab" for k in range(1, 31)]
+        # the last leaf resolves the last days
+        assert all(r.predicted_value > 400 for r in got if r.measure == "b") and str(max(r.period for r in got)) == "2024-03-30"
+    assert asked == [80, 80]
+
+
+def test_choice_is_among_linear_forest_and_boosted(spark, points, monkeypatch):
+    made = FO.forecast_candidates(points, trees=2)
+    monkeypatch.setattr(FO, "forecast_candidates", lambda points: made)
+    rows = made.collect()
+    assert sorted((r.measure, r.model) for r in rows) == [(m, n) for m in "ab" for n in ("Gradient Boosted Trees", "Linear trend fallback", "Random Forest")]
+    chosen = REGISTRY["ml11_select_forecast"][0](spark, FOLDER).collect()
+    best = {m: max((r for r in rows if r.measure == m), key=lambda r: r.confidence) for m in "ab"}
+    assert {r.measure: (r.model, r.predicted_value) for r in chosen} == {m: (r.model, round(r.predicted_value, 2)) for m, r in best.items()}
+    assert FO.tree_forecast(points.where("x < 7")).count() == 0
