@@ -6,7 +6,9 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm import chat, host_suffix, license_scan, mixing, nbsvm, ngram_join, rp_forest, token_store, toxicity, winnow
+from tallyforge.llm import (
+    chat, curve_packing, host_suffix, license_scan, mixing, nbsvm, ngram_join, periodic, ranked_search, rp_forest, token_store, toxicity, winnow,
+)
 from tallyforge.llm.shared import held_out, small_batches
 from tallyforge.queries.base import scratch_folder
 from tallyforge.sources.readers import read_table
@@ -88,6 +90,26 @@ def op5_license_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.fit(docs))
 
 
+PACK_END_ID = 2
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated word sequences in every document, of which one in ten is first given a period."""
+    docs = periodic.with_periods(read_table(spark, folder, "documents"))
+    return periodic.digest(periodic.find_runs(docs, columns=["doc_id"]))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+def op13_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens along a Hilbert curve."""
+    pieces = curve_packing.pack(read_table(spark, folder, "documents"), tokenizer_path(), PACK_END_ID)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def _tuned(query):
     """The query in a session with small batches for long texts."""
     @functools.wraps(query)
@@ -99,6 +121,9 @@ def _tuned(query):
 
 
 QUERIES = {
+    "op11_periodic_runs": _tuned(op11_periodic_runs),
+    "op12_ranked_search": _tuned(op12_ranked_search),
+    "op13_curve_packing": _tuned(op13_curve_packing),
     "op5_license_paragraphs": _tuned(op5_license_paragraphs),
     "op3_noisy_channel": _tuned(op3_noisy_channel),
     "op4_host_suffix": _tuned(op4_host_suffix),
@@ -110,4 +135,18 @@ QUERIES = {
     "op1_ngram_join": _tuned(op1_ngram_join),
     "op7_quality_nbsvm": _tuned(op7_quality_nbsvm),
 }
-ORACLES: dict[str, str] = {}
+_OP12_SQL = r"""
+WITH said AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM said GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+df AS (SELECT term, floor(1000e0 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+times AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+           FROM times JOIN df USING (term) JOIN tf USING (term) JOIN n USING (doc_id), corpus GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+ORACLES: dict[str, str] = {"op12_ranked_search": _OP12_SQL}
