@@ -16,12 +16,7 @@ accuracy moves only the sizes of parts.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import os
-import re
-import sys
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,112 +24,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.rolling import pieces, release, text_buffer
+from tallyforge.llm.encoder import encoder_of, slices
+from tallyforge.llm.rolling import release
 
 BLOCK = 1 << 20
-CACHE = 100_000
-_KEEP = re.compile("[\x1c-\x1f]")
-# U+0130 becomes two characters in lower case
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# byte-level vocabularies show printable bytes as themselves and the others as the characters from 256 on
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-
-
-class WordEncoder:
-    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``, by way of a cache of chunks.
-
-    For tokenizers that lower-case, drop white space and split by one pattern (``splits_on_space``) a text is the sequence of its
-    chunks between white space, and each distinct chunk is encoded once. A chunk of Latin letters with closing
-    ASCII marks is its lower-cased word and its marks; such a word needs neither normalising nor splitting and goes to the
-    tokenizer's model at once. Texts with the four control characters that Python, but not the tokenizer, takes for white
-    space are encoded whole, as are all texts of other tokenizers. The cache has two generations of ``CACHE`` entries.
-    """
+PART = 1 << 29
+
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.code = "H" if self.width == 2 else "I"
-        self.chunked = splits_on_space(self.tokenizer)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        own = array(self.code, ids)
-        if sys.byteorder == "big":
-            own.byteswap()
-        return own.tobytes()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Put chunks into the cache."""
-        cache, older, tokenize, code = self.cache, self.older, self.model.tokenize, self.code
-        swap, rest = sys.byteorder == "big", []
-        for c in chunks:
-            ids = older.get(c)
-            if ids is None:
-                word = c.rstrip(_MARKS)
-                plain = word.isascii()
-                if not (word.isalpha() if plain else _LATIN.fullmatch(word)):
-                    rest.append(c)
-                    continue
-                low = word.lower()
-                ids = cache.get(low)
-                if ids is None:
-                    ids = older.get(low)
-                    if ids is None:
-                        own = array(code, [t.id for t in tokenize(low if plain else "".join([_SHOWN[b] for b in low.encode()]))])
-                        if swap:
-                            own.byteswap()
-                        ids = own.tobytes()
-                    cache[low] = ids
-                if len(word) < len(c):
-                    marks = c[len(word):]
-                    if marks not in cache:
-                        cache[marks] = self._whole([marks])[0]
-                    ids = ids + cache[marks]
-            cache[c] = ids
-        for a in range(0, len(rest), 20_000):
-            cache.update(zip(rest[a:a + 20_000], self._whole(rest[a:a + 20_000]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text; meant for lists of about a million characters."""
-        odd = [not self.chunked or _KEEP.search(t) is not None for t in texts]
-        whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]))
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
-        cache = self.cache
-        self._learn({c for chunks in split for c in chunks if c not in cache})
-        return [next(whole) if o else b"".join([cache[c] for c in chunks]) for o, chunks in zip(odd, split, strict=True)]
-
-
-def splits_on_space(tokenizer) -> bool:
-    """Whether texts can be cut at white space: the tokenizer lower-cases, drops white space and splits by its fixed pattern."""
-    import json
-
-    spec = json.loads(tokenizer.to_str())
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-    first = steps[0] if steps else {}
-    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in spec.get("added_tokens", []))
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    plain = plain and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
-    return plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and \
-        pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
-
-
-
-
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 4000, size: int = 1 << 16) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 1000, size: int = 1 << 16) -> bytes:
     """A zstandard dictionary from the id arrays of at most ``sample`` documents, those of the smallest hash of the id.
 
     Only ids, not texts, reach the driver: at most 1 000 ids of a document. Where there is too little to train on, the
@@ -146,11 +43,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
         return b""
 
     def ids(batches):
-        own = WordEncoder(tokenizer)
-        width = own.width
-        for batch in batches:
-            got = [r for part in _slices(batch) for r in own.encode(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([r[:1000 * width] for r in got], pa.binary())], ["h", "ids"])
+        own = encoder_of(tokenizer)
+        for batch in (part for whole in batches for part in slices(whole)):
+            ids, bounds = own.encode(batch.column("text"))
+            got = [ids[a:min(b, a + 1000)].astype(f"<u{own.width}").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(got, pa.binary())], ["h", "ids"])
 
     rows = picked.where(F.col("h") <= lowest).mapInArrow(ids, "h long, ids binary").orderBy("h", "ids").limit(sample).collect()
     samples = [bytes(r["ids"]) for r in rows]
@@ -160,14 +57,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
         return b""
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about a million bytes of text."""
-    _, offsets = text_buffer(batch.column("text"))
-    for i, j, _, _ in pieces(np.zeros(0, np.uint8), offsets):
-        yield batch.slice(i, j - i)
-    release()
-
-
 def _compressor(raw: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     own = zstandard.ZstdCompressionDict(raw) if raw else None
     return zstandard.ZstdCompressor(level=3, dict_data=own, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor(dict_data=own)
@@ -184,28 +73,25 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
     raw = train_dictionary(docs, tokenizer, end_id)
     name = hashlib.sha256(raw).hexdigest()
     shared = spark.sparkContext.broadcast(raw)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()["cuts"] if parts > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts, parts = _cuts(docs, parts)
 
     def encode(batches):
-        own, (pack, _) = WordEncoder(tokenizer), _compressor(shared.value)  # one encoder per task: its cache must not outlive it
-        end = np.array([end_id], own.kind).tobytes()
-        for batch in (part for whole in batches for part in _slices(whole)):
-            ids = batch.column("doc_id").to_pylist()
-            place = np.searchsorted(cuts, np.array([-2**63 if i is None else i for i in ids], np.int64), side="left").astype(np.int32)
-            got = [r + end for r in own.encode([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids, pa.int64()), pa.array([len(r) // own.width for r in got], pa.int32()),
-                                              pa.array([pack.compress(r) for r in got], pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
-        del own
-        gc.collect()
-        release()
+        own, (pack, _) = encoder_of(tokenizer), _compressor(shared.value)
+        for batch in (part for whole in batches for part in slices(whole)):
+            doc_ids = batch.column("doc_id")
+            place = np.searchsorted(cuts, doc_ids.fill_null(-2**63).to_numpy(), side="left").astype(np.int32)
+            ids, bounds = own.encode(batch.column("text"))
+            end, kind, frames = np.array([end_id], f"<u{own.width}"), f"<u{own.width}", []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                frames.append(pack.compress(np.concatenate([ids[a:b].astype(kind), end]).data))
+            yield pa.RecordBatch.from_arrays([pa.array(place), doc_ids, pa.array((np.diff(bounds) + 1).astype(np.int32)),
+                                              pa.array(frames, pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
 
     frames = docs.mapInArrow(encode, "part int, doc_id long, n_tokens int, frame binary")
-    frames = frames.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
+    frames = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
     blocks = frames.mapInArrow(lambda it: _pack(it, name), _BLOCKS)
     blocks.write.parquet(f"{path}/blocks")
-    width = WordEncoder(tokenizer).width
+    width = encoder_of(tokenizer).width
     with open(tokenizer, "rb") as f:
         made = hashlib.file_digest(f, "sha256").hexdigest()
     spark.createDataFrame([(name, bytearray(raw), width, made)], "hash string, bytes binary, width int, tokenizer string").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -215,6 +101,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
     totals.withColumn("before", before.cast("long")).write.parquet(f"{path}/parts")
 
 
+def _cuts(docs: DataFrame, parts: int | None) -> tuple[np.ndarray, int]:
+    """Upper bounds of all parts but the last, and the number of parts: at least the session's, and one per ``PART`` bytes of text."""
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    at = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else None
+    cuts = np.unique(np.array(at or [], np.int64))
+    return cuts, len(cuts) + 1
+
+
 _BLOCKS = ("part int, block int, first_doc long, last_doc long, dictionary string, tokens long, payload binary, "
            "doc_ids array<long>, n_tokens array<int>, starts array<long>, offsets array<long>")
 
@@ -300,4 +196,4 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-__all__ = ["WordEncoder", "digest", "read_store", "splits_on_space", "train_dictionary", "write_store"]
+__all__ = ["digest", "read_store", "train_dictionary", "write_store"]
