@@ -1,14 +1,15 @@
-"""Forecasts of daily series: least squares in one shuffle, MLlib forests, model choice."""
+"""Forecasts of daily series: least squares in one shuffle, tree models of all series in one grouped job, model choice."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tallyforge.functions import series_trees
 from tallyforge.functions.semantics import col, growth
 from tallyforge.operators import backbone as B
-from tallyforge.session import checkpoint_frame
 
 HORIZON = 30
 
@@ -71,55 +72,52 @@ def linear_candidates(points: DataFrame, by: list[str] = (), steps: int = HORIZO
     )
 
 
-def tree_forecast(points: DataFrame, model: str = "forest", steps: int = HORIZON, trees: int = 80) -> DataFrame:
-    """(measure, model, step, period, current_value, predicted_value, confidence): a random forest or boosted trees on the time index of every series.
+MODELS = {"boosted": "Gradient Boosted Trees", "forest": "Random Forest"}
 
-    Series of fewer than 8 points have none. A series is already aggregated to days, so it fits in one partition: the bootstrap
-    does not depend on partitioning, and every day can be a split (beyond the last day a tree gives its last leaf).
+
+def tree_forecast(points: DataFrame, model: str = "forest", steps: int = HORIZON, trees: int = 80, by: list[str] = ()) -> DataFrame:
+    """(by..., measure, model, step, period, current_value, predicted_value, confidence): trees on the time index of every series.
+
+    ``forest`` is a bootstrap forest without limit of depth, its confidence the in-sample R2; ``boosted`` has ``trees`` rounds of
+    gradient boosting and a confidence of 0.78. All series are fitted in one grouped job: a series is already aggregated to days, so
+    a group is a calendar, however many rows a day has. Series of fewer than 8 points have no forecast; beyond the last day a tree
+    answers with its last leaf, so all steps are equal.
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    known = checkpoint_frame(points.where(F.col("y").isNotNull()).select("measure", "start", "x", "y"))
-    assemble = VectorAssembler(inputCols=["x"], outputCol="features")
-    name = {"forest": "Random Forest", "boosted": "Gradient Boosted Trees"}[model]
-    found = []
-    for measure, n in known.groupBy("measure").count().where("count >= 8").orderBy("measure").collect():
-        one = known.where(F.col("measure") == measure)
-        data = assemble.transform(one).orderBy("x").coalesce(1).persist()
-        if model == "forest":
-            learner = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=30, maxBins=max(32, n), seed=42)
-        else:
-            learner = GBTRegressor(labelCol="y", maxIter=trees, maxDepth=5, maxBins=max(32, n), seed=42)
-        fitted = learner.fit(data)
-        confidence = 0.78
-        if model == "forest":
-            confidence = max(0.0, min(1.0, RegressionEvaluator(labelCol="y", metricName="r2").evaluate(fitted.transform(data))))
-        data.unpersist()
-        ends = one.agg(F.max("start").alias("last"), F.max("x").alias("last_x"), F.max_by("y", "x").alias("current_value"))
-        ahead = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("x", F.col("last_x") + F.col("step"))
-        found.append(fitted.transform(assemble.transform(ahead)).select(
-            F.lit(measure).alias("measure"), F.lit(name).alias("model"), "step", F.date_add(F.col("last").cast("date"), F.col("step")).alias("period"),
-            "current_value", F.col("prediction").alias("predicted_value"), F.lit(confidence).alias("confidence"),
-        ))
-    if not found:
-        return points.sparkSession.createDataFrame(
-            [], "measure string, model string, step int, period date, current_value double, predicted_value double, confidence double")
-    return reduce(DataFrame.unionByName, found)
-
-
-def forecast_candidates(points: DataFrame, steps: int = HORIZON, trees: int = 80) -> DataFrame:
-    """(measure, model, current_value, predicted_value, confidence) of the linear, forest and boosted models after ``steps`` days."""
-    columns = ["measure", "model", "current_value", "predicted_value", "confidence"]
-    grown = [tree_forecast(points, model, steps, trees).where(F.col("step") == steps) for model in ("forest", "boosted")]
-    return reduce(DataFrame.unionByName, [f.select(*columns) for f in [linear_candidates(points, steps=steps), *grown]])
+    own, name = [*by, "measure"], MODELS[model]
+    # keys are carried by a name of their own, so that no column of the caller can clash
+    known = points.where(F.col("y").isNotNull()).select(
+        F.struct(*own).alias("series"), F.col("start").cast("timestamp").alias("start"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    ends = known.groupBy("series").agg(F.max("start").alias("last"), F.count("y").alias("n")).where("n >= 8")
+    known = known.withColumn("n", F.count("y").over(W.partitionBy("series"))).where("n >= 8")
+
+    def fit(key, rows):
+        rows = rows.sort_values("x", kind="stable")
+        y = rows["y"].to_numpy()
+        ahead, confidence = series_trees.forest(y, trees) if model == "forest" else (series_trees.boosted(y, trees)[-1], 0.78)
+        return pd.DataFrame({"at": [key[0]], "current_value": [y[-1]], "predicted_value": [ahead], "confidence": [confidence]})
+
+    named = known.withColumn("at", F.to_json("series", {"ignoreNullFields": "false"}))
+    fitted = named.select("at", "x", "y").groupBy("at").applyInPandas(fit, "at string, current_value double, predicted_value double, confidence double")
+    ends = ends.withColumn("at", F.to_json("series", {"ignoreNullFields": "false"}))
+    ahead = fitted.join(ends, "at").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    return ahead.select(
+        *[F.col(f"series.`{k}`").alias(k) for k in own], F.lit(name).alias("model"), "step", F.date_add(F.col("last").cast("date"), F.col("step")).alias("period"),
+        "current_value", "predicted_value", "confidence")
+
+
+def forecast_candidates(points: DataFrame, steps: int = HORIZON, trees: int = 80, by: list[str] = ()) -> DataFrame:
+    """(by..., measure, model, current_value, predicted_value, confidence) of the boosted, forest and linear models after ``steps`` days."""
+    columns = [*by, "measure", "model", "current_value", "predicted_value", "confidence"]
+    grown = [tree_forecast(points, model, steps, trees, by).where(F.col("step") == steps) for model in MODELS]
+    return reduce(DataFrame.unionByName, [f.select(*columns) for f in [*grown, linear_candidates(points, by, steps)]])
 
 
 def select_forecast(candidates: DataFrame, by: list[str] = ()) -> DataFrame:
-    """The candidate with the highest confidence per series and its change against the last value."""
+    """The candidate with the highest confidence per series (boosted before forest before others on ties) and its change against the last value."""
     keys = [*by, "measure"]
-    best = F.max_by(F.struct("model", "current_value", "predicted_value", "confidence"), F.struct("confidence", "model"))
+    turn = F.coalesce(F.array_position(F.lit(list(MODELS.values())), F.col("model")), F.lit(0))
+    turn = F.when(turn > 0, -turn).otherwise(-9)
+    best = F.max_by(F.struct("model", "current_value", "predicted_value", "confidence"), F.struct("confidence", turn, "model"))
     chosen = candidates.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
     return chosen.select(
         *keys, "model", F.round("current_value", 2).alias("current_value"), F.round("predicted_value", 2).alias("predicted_value"),

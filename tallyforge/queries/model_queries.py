@@ -190,26 +190,61 @@ def _points(spark, sf) -> DataFrame:
     return FO.daily_points(Tables(spark, sf).sales, "order_date", ["revenue", "quantity"])
 
 
-@query("ml9_forest_forecast")
+# per tree the nearest drawn day; draws are a hash of draw and tree number
+_FOREST = """
+    , t AS (SELECT unnest(range(80))::BIGINT AS t)
+    , q AS (SELECT measure, start, x::BIGINT AS x, y, count(*) OVER (PARTITION BY measure) AS n FROM p)
+    , d1 AS (SELECT measure, t, x, n, (x * 48271 + t * 1299709 + 97) % 2147483647 AS r FROM q, t)
+    , d2 AS (SELECT measure, t, x, n, (r * r + t + 12345) % 2147483647 AS r FROM d1)
+    , d3 AS (SELECT DISTINCT measure, t, (r * r + x) % 2147483647 % n AS drawn FROM d2)
+    , g AS (SELECT q.measure, t.t, q.x, d3.drawn FROM q CROSS JOIN t LEFT JOIN d3 ON d3.measure = q.measure AND d3.t = t.t AND d3.drawn = q.x)
+    , w AS (SELECT *, max(drawn) OVER (PARTITION BY measure, t ORDER BY x) AS lo,
+                   min(drawn) OVER (PARTITION BY measure, t ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM g)
+    , z AS (SELECT measure, t, x, CASE WHEN hi IS NULL OR x - lo <= hi - x THEN lo ELSE hi END AS near FROM w)
+    , e AS (SELECT z.measure, z.x, avg(q.y) AS fit FROM z JOIN q ON q.measure = z.measure AND q.x = z.near GROUP BY 1, 2)
+    , m AS (SELECT measure, avg(y) AS m FROM q GROUP BY 1)
+    , s AS (SELECT measure, greatest(0e0, least(1e0, 1 - sum((y - fit) * (y - fit)) / sum((y - m) * (y - m)))) AS conf, arg_max(y, x) AS cur, max(start) AS last
+            FROM q JOIN e USING (measure, x) JOIN m USING (measure) GROUP BY 1)
+    , v AS (SELECT l.measure, avg(q.y) AS v FROM (SELECT measure, t, max(drawn) AS drawn FROM d3 GROUP BY 1, 2) l JOIN q ON q.measure = l.measure AND q.x = l.drawn GROUP BY 1)"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("measure", "model", "step", F.date_format("period", "yyyy-MM-dd").alias("period"), F.round("current_value", 2).alias("current_value"),
+                        F.round("predicted_value", 2).alias("predicted_value"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("ml9_forest_forecast", sql("daily", _DAYS + _FOREST + """
+    SELECT measure, 'Random Forest' AS model, step::INT AS step, strftime(last + to_days(step::INT), '%Y-%m-%d') AS period, round(cur, 2) AS current_value,
+           round(v, 2) AS predicted_value, round(conf, 6) AS confidence FROM s JOIN v USING (measure), range(1, 31) t(step)"""))
 def ml9(spark, sf):
-    return FO.tree_forecast(_points(spark, sf), "forest")
+    return _shown(FO.tree_forecast(_points(spark, sf), "forest"))
 
 
 @query("ml10_boosted_forecast")
 def ml10(spark, sf):
-    return FO.tree_forecast(_points(spark, sf), "boosted")
+    return _shown(FO.tree_forecast(_points(spark, sf), "boosted"))
 
 
-@query("ml11_select_forecast", sql("daily", _DAYS + _fit_sql("measure") + """
-    , c AS (SELECT measure, 'Linear trend fallback' AS model, cur AS c, a + b * (lx + 30) AS v, 0.58e0 AS conf FROM f
-            UNION ALL SELECT measure, 'Recent mean', arg_max(y, x), avg(y), CASE measure WHEN 'revenue' THEN 0.7e0 ELSE 0.4e0 END FROM p GROUP BY measure)
-    , k AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY conf DESC) AS i FROM c)
+# The boosted candidate's value is no SQL; its confidence is fixed, so its row stands with a null, which shows if it were chosen.
+@query("ml11_select_forecast", sql("daily", _DAYS + _fit_sql("measure") + _FOREST + """
+    , c AS (SELECT measure, 'Gradient Boosted Trees' AS model, cur AS c, NULL AS v, 0.78e0 AS conf, 1 AS turn FROM f
+            UNION ALL SELECT measure, 'Random Forest', cur, v, conf, 2 FROM s JOIN v USING (measure)
+            UNION ALL SELECT measure, 'Linear trend fallback', cur, a + b * (lx + 30), 0.58e0, 3 FROM f)
+    , k AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY conf DESC, turn) AS i FROM c)
     SELECT measure, model, round(c, 2) AS current_value, round(v, 2) AS predicted_value, round((v - c) / abs(c) * 100, 2) AS change_percent,
            round(conf * 100)::BIGINT AS confidence_score FROM k WHERE i = 1"""))
 def ml11(spark, sf):
     return FO.select_forecast(FO.forecast_candidates(checkpoint_frame(_points(spark, sf))))
 
 
+@query("ml12_tree_forecast_many")
+def ml12_trees(spark, sf):
+    """The forest forecast of every supplier's series, in one grouped job."""
+    points = FO.daily_points(Tables(spark, sf).supplier_lines, "ship_date", ["quantity"], ["dataset_id"])
+    found = FO.tree_forecast(points, "forest", by=["dataset_id"])
+    return found.select("dataset_id", "step", F.date_format("period", "yyyy-MM-dd").alias("period"), F.round("predicted_value", 4).alias("forecast"), F.round("confidence", 6).alias("confidence"))
+
+
 @query("ml12_forecast_many", sql("supplier_lines", """
     , d AS (SELECT dataset_id, date_trunc('day', ship_date)::TIMESTAMP AS start, sum(quantity) AS v FROM supplier_lines GROUP BY 1, 2)
     , b AS (SELECT dataset_id, unnest(generate_series(min(start), max(start), INTERVAL 1 DAY)) AS start FROM d GROUP BY 1)
