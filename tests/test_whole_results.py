@@ -119,7 +119,8 @@ def test_choice_is_among_linear_forest_and_boosted(points):
     assert {(r.measure, r.model) for r in rows} == {(m, n) for m in ("a", "b", "holes", "flat") for n in models}
     chosen = FO.select_forecast(FO.forecast_candidates(points, by=["series"]), ["series"]).where("series = 'one'").collect()
     best = {m: max((r for r in rows if r.measure == m), key=lambda r: r.confidence) for m in ("a", "b", "holes", "flat")}
-    assert {r.measure: (r.model, r.predicted_value) for r in chosen} == {m: (r.model, round(r.predicted_value, 2)) for m, r in best.items()}
+    assert {r.measure: r.model for r in chosen} == {m: r.model for m, r in best.items()}
+    assert all(r.predicted_value == pytest.approx(best[r.measure].predicted_value, abs=0.0051) for r in chosen)  # shown with two digits
 
 
 def test_ties_of_confidence_go_to_the_first_candidate(spark):
