@@ -37,14 +37,21 @@ def _list(values) -> str:
     return "[" + ", ".join(quoted) + "]"
 
 
-VIEWS["questions"] = ([], f"SELECT conv_id, turn, {_list(p[0] for p in PHRASES)}{_PICK} AS question FROM conversations WHERE role = 'user'")
+# Every turn of every role asks: its whole text with a phrase behind it, chosen by conversation and turn number.
+VIEWS["phrases"] = ([], f"SELECT conv_id, turn, text, {_list(p[0] for p in PHRASES)}{_PICK} AS phrase FROM conversations")
+VIEWS["questions"] = (["phrases"], "SELECT conv_id, turn, coalesce(text, '') || ' ' || phrase AS question FROM phrases")
 
 
-def questions(t: Tables) -> DataFrame:
-    """One question per user turn, chosen by conversation and turn number."""
+def phrases(t: Tables) -> DataFrame:
+    """One phrase per turn, beside the turn's text."""
     words = F.array(*[F.lit(p[0]) for p in PHRASES])
     at = ((F.col("conv_id") + F.col("turn")) % len(PHRASES)).cast("int")
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", words[at].alias("question"))
+    return t.conversations.select("conv_id", "turn", "text", words[at].alias("phrase"))
+
+
+def questions(t: Tables) -> DataFrame:
+    """The whole text of every turn, whatever its role, and a phrase that asks something."""
+    return phrases(t).select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), "phrase").alias("question"))
 
 
 def _replaced(expr: str, terms) -> str:
@@ -62,28 +69,60 @@ def qa1b(spark, sf):
     return questions(Tables(spark, sf)).select("conv_id", "turn", LG.normalize_spoken(F.col("question")).alias("normalized"))
 
 
-_RESOLVED = [("product_name", "revenue"), ("product_name", "revenue"), ("product_name", "revenue"), ("region", "quantity"),
-             ("product_name", "discount"), ("category", "revenue"), ("product_name", "revenue"), ("product_name", "revenue"),
-             ("product_name", "revenue"), ("category", "revenue"), ("customer_name", "revenue"), ("product_name", "revenue"),
-             ("category", "revenue"), ("product_name", "revenue")]
-
-
-@query("qa2_resolve_columns", sql("questions", f"""
-    SELECT conv_id, turn, {_list(r[0] for r in _RESOLVED)}{_PICK} AS dimension, {_list(r[1] for r in _RESOLVED)}{_PICK} AS measure FROM questions"""))
+def _has(*words: str) -> str:
+    return "(" + " OR ".join("contains(q, '{}')".format(w.replace("'", "''")) for w in words) + ")"
+
+
+def _role(name: str) -> str:
+    return _has(name, *L.QUESTION_ROLES[name])
+
+
+# The rules for the header of the sales view. Profit is asked of revenue, since the view has no column of that kind.
+_METRIC = (f"CASE WHEN {_role('profit')} THEN 'revenue' WHEN {_role('revenue')} THEN 'revenue' WHEN {_role('quantity')} THEN 'quantity' "
+           f"WHEN {_role('discount')} THEN 'discount' END")
+_NAMED = """CASE WHEN contains(u, 'customer name') THEN 'customer_name' WHEN contains(u, 'product name') THEN 'product_name' WHEN contains(u, 'category') THEN 'category'
+    WHEN contains(u, 'region') THEN 'region' WHEN contains(u, 'customer') OR contains(u, 'name') THEN 'customer_name' WHEN contains(u, 'product') THEN 'product_name' END"""
+_NUMBER = """CASE WHEN contains(u, 'order id') THEN 'order_id' WHEN contains(u, 'quantity') THEN 'quantity' WHEN contains(u, 'revenue') THEN 'revenue'
+    WHEN contains(u, 'discount') THEN 'discount' WHEN contains(u, 'cost') THEN 'cost' WHEN contains(u, 'order') THEN 'order_id' END"""
+VIEWS["asked"] = (["questions"], f"SELECT conv_id, turn, {_replaced('trim(lower(question))', L.QUESTION_TERMS)} AS q, replace({_replaced('trim(lower(question))', L.QUESTION_TERMS)}, '_', ' ') AS u FROM questions")
+VIEWS["resolved"] = (["asked"], f"""
+    SELECT *, {_METRIC} AS metric, {_NAMED} AS named, {_NUMBER} AS number, {_role('status')} AS unknown_field,
+           coalesce(CASE WHEN {_role('product')} THEN 'product_name' WHEN {_role('city')} THEN 'region' WHEN {_role('customer')} THEN 'customer_name'
+                         WHEN {_role('category')} THEN 'category' END, {_NAMED}, 'product_name') AS dimension,
+           coalesce({_METRIC}, {_NUMBER}, 'revenue') AS measure FROM asked""")
+VIEWS["intents"] = (["resolved"], f"""
+    SELECT *, CASE WHEN unknown_field THEN 'unknown'
+        WHEN {_has(*L.COUNT_WORDS)} AND {_role('product')} THEN 'count product' WHEN {_has(*L.COUNT_WORDS)} AND {_role('customer')} THEN 'count customer'
+        WHEN {_has(*L.COUNT_WORDS)} AND contains(q, 'order') THEN 'count order'
+        WHEN contains(q, 'why') AND ({_role('profit')} OR {_role('revenue')}) THEN 'why_change'
+        WHEN {_has(*L.WEAK_WORDS)} OR (contains(q, 'least') AND contains(q, 'perform')) THEN 'weakest'
+        WHEN top AND segment AND n > 1 THEN 'top_n' WHEN top AND segment AND number IS NULL AND metric IS NULL THEN 'top_count'
+        WHEN top AND segment THEN 'leader' WHEN top THEN 'highest_value' WHEN {_has(*L.AVERAGE_WORDS)} THEN 'average' WHEN {_has(*L.COMMON_WORDS)} THEN 'most_common'
+        WHEN {_has(*L.OUTLIER_WORDS)} THEN 'outliers' WHEN {_has(*L.ROW_WORDS)} THEN 'rows' WHEN {_has(*L.COLUMN_WORDS)} THEN 'columns'
+        WHEN {_has(*L.QUALITY_WORDS)} THEN 'quality' WHEN {_has(*L.ADVICE_WORDS)} THEN 'advice' ELSE 'unknown' END AS rule
+    FROM (SELECT *, {_has(*L.TOP_WORDS)} AS top, greatest(1, least(25, coalesce(try_cast(regexp_extract(q, 'top\s+(\d+)', 1) AS INTEGER), 1))) AS n,
+                 named IS NOT NULL OR {' OR '.join(_role(r) for r in ('category', 'product', 'city', 'customer', 'date'))} AS segment FROM resolved)""")
+
+
+@query("qa2_resolve_columns", sql("resolved", "SELECT conv_id, turn, dimension, measure FROM resolved"))
 def qa2(spark, sf):
     t = Tables(spark, sf)
     return ASK.resolve_columns(t.sales, questions(t)).select("conv_id", "turn", "dimension", "measure")
 
 
-@query("qa3_unknown_field", sql("questions", f"SELECT conv_id, turn FROM questions WHERE {_list(p[1] for p in PHRASES)}{_PICK} = 'unknown'"))
+@query("qa3_unknown_field", sql("resolved", "SELECT conv_id, turn FROM resolved WHERE unknown_field"))
 def qa3(spark, sf):
     t = Tables(spark, sf)
     return ASK.resolve_columns(t.sales, questions(t)).where("unknown_field").select("conv_id", "turn")
 
 
-@query("qa_plan_questions", sql("questions", f"""
-    SELECT conv_id, turn, {_list(p[1] for p in PHRASES)}{_PICK} AS intent, {_list(p[2] for p in PHRASES)}{_PICK} AS dimension,
-           {_list(p[3] for p in PHRASES)}{_PICK} AS measure, {_list(p[4] for p in PHRASES)}{_PICK}::INT AS n FROM questions"""))
+@query("qa_plan_questions", sql("intents", """
+    SELECT conv_id, turn, CASE WHEN rule LIKE 'count %' THEN 'unique_count' ELSE rule END AS intent,
+           CASE rule WHEN 'count product' THEN 'product_name' WHEN 'count customer' THEN 'customer_name' WHEN 'count order' THEN 'order_id'
+                WHEN 'top_n' THEN coalesce(named, dimension) WHEN 'top_count' THEN coalesce(named, dimension) WHEN 'leader' THEN coalesce(named, dimension)
+                WHEN 'why_change' THEN dimension WHEN 'weakest' THEN dimension WHEN 'most_common' THEN dimension WHEN 'advice' THEN dimension END AS dimension,
+           CASE WHEN rule IN ('why_change', 'weakest', 'top_n', 'leader', 'highest_value', 'average', 'outliers', 'advice') THEN measure END AS measure,
+           CASE WHEN rule IN ('top_n', 'top_count') THEN n ELSE 1 END::INT AS n FROM intents"""))
 def qa_plan(spark, sf):
     t = Tables(spark, sf)
     return ASK.plan_questions(t.sales, questions(t)).drop("question")
@@ -162,17 +201,18 @@ def qa14(spark, sf):
     return ASK.describe_column(s, "category").unionByName(ASK.describe_column(s, "quantity")).select("text")
 
 
-@query("qa_ask_many", sql("questions sales", f"""
+@query("qa_ask_many", sql("phrases sales", f"""
     , a AS ({" UNION ALL ".join(f"SELECT '{i}' AS intent, * FROM ({b})" for i, b in _BODIES.items())})
-    SELECT conv_id, turn, intent, label, value, share FROM (SELECT *, {_list(p[1] for p in PHRASES)}{_PICK} AS intent FROM questions) JOIN a USING (intent)"""))
+    SELECT conv_id, turn, intent, label, value, share FROM (SELECT *, {_list(p[1] for p in PHRASES)}{_PICK} AS intent FROM phrases) JOIN a USING (intent)"""))
 def qa_many(spark, sf):
     t = Tables(spark, sf)
-    return ASK.ask_many(t.sales, questions(t)).select("conv_id", "turn", "intent", "label", "value", "share")
+    return ASK.ask_many(t.sales, phrases(t).select("conv_id", "turn", F.col("phrase").alias("question"))).select("conv_id", "turn", "intent", "label", "value", "share")
 
 
 @query("qa15_conversation_context", sql("questions", """
     , q AS (SELECT conv_id, turn, trim(regexp_replace(""" + _replaced("' ' || trim(lower(question)) || ' '", L.ASSISTANT_TERMS) + """, '\\s+', ' ', 'g')) AS normalized FROM questions)
-    , k AS (SELECT *, CASE WHEN normalized LIKE '%why%' AND regexp_matches(normalized, 'profit|sales|revenue') THEN 'special'
+    , k AS (SELECT *, CASE WHEN regexp_matches(normalized, 'kpi|summary|health|important metric')
+                             OR normalized LIKE '%why%' AND regexp_matches(normalized, 'profit|sales|revenue') THEN 'special'
                            WHEN len(string_split(normalized, ' ')) > 3 THEN 'long' ELSE 'short' END AS kind FROM q)
     , p AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM k)
     , a AS (SELECT *, max(CASE WHEN kind <> 'short' OR before IS NULL OR before = 'special' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS anchor FROM p)
