@@ -221,6 +221,53 @@ def test_copied_pages_keep_their_text(spark):
     assert got[8] == prose(76, 60, 5000)  # what markup drops elsewhere is still boilerplate
 
 
+def test_names_of_frames_do_not_drop_articles():
+    for frame in ('<div id="page" class="site has-sidebar">', '<div class="no-sidebar">', '<form id="form1">', '<div class="banner">', "<div class='page-content notice'>"):
+        assert host_suffix.blocks_of(f"<body>{frame}<nav>n</nav><article class='post share'><p>one</p></article></div>") == (True, ["one"], ["n"]), frame
+    inside = "<section id='related-work'><h2 id='social-history'>a</h2><p class='notice'>b</p></section><p>c <math><mi>x</mi></math> d</p>"
+    gone = "<div class='comments-area'>z</div><div class='ad-slot-1'>z</div><form>z</form><aside>z</aside><footer>z</footer>"
+    assert host_suffix.blocks_of(f"<article>{inside}{gone}</article>") == (True, ["a", "b", "c x d"], ["z"] * 5)
+    assert host_suffix.blocks_of("<div class='site-footer'>f</div><div class='has-sidebar'>text</div>") == (False, ["text"], ["f"])
+    assert host_suffix.blocks_of("<div class='widget'><p>all there is</p></div>") == (False, ["all there is"], [])
+    assert host_suffix.blocks_of("<section class='comments'><article class='comment'>no</article></section><main>yes</main>") == (True, ["yes"], ["no"])
+
+
+def test_long_broken_pages_are_linear():
+    import time
+
+    start = time.perf_counter()
+    for page in ("if a <b " * 120_000, "<div></p>" * 100_000, "<a \"'" * 150_000, "<a '>' " * 130_000 + '"', "<p><li>" * 130_000, "<!" * 400_000, "</x" * 300_000, "<script>" * 100_000):
+        host_suffix.blocks_of(page)
+    assert time.perf_counter() - start < 60  # about a megabyte each
+    assert host_suffix.blocks_of("if a <b and c") == (False, ["if a <b and c"], []) and host_suffix.blocks_of("a <b title='>' x>c</b> d < e") == (False, ["a c d < e"], [])
+
+
+def test_repeats_equal_brute_force(spark):
+    """Blocks of unmarked pages go if more than half their tokens lie in 12-token stretches that another page of the host has."""
+    shared = [prose(500 + k, 40, 9000) for k in range(6)]
+    rows = []
+    for k in range(12):
+        host = f"h{k % 2}.example"
+        blocks = [shared[(k + j) % 6] for j in range(2)] + [prose(1000 + 10 * k + j, 30, 9000) for j in range(3)] + [shared[k % 6] + " " + prose(2000 + k, 90, 9000)]
+        rows.append((k, f"http://{host}/{k}", blocks))
+    pages = spark.createDataFrame([(i, u, "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>") for i, u, blocks in rows], "page_id long, url string, html string")
+    want = {}
+    for i, u, blocks in rows:
+        others = {tuple(w[a:a + 12]) for j, v, own in rows if j != i and host_suffix.host_of(v) == host_suffix.host_of(u) for w in [words(" ".join(own))] for a in range(len(w) - 11)}
+        flat, cover, keep, at = words(" ".join(blocks)), set(), [], 0
+        for a in range(len(flat) - 11):
+            if tuple(flat[a:a + 12]) in others:
+                cover.update(range(a, a + 12))
+        for b in blocks:
+            n = len(words(b))
+            if len(cover & set(range(at, at + n))) <= n / 2:
+                keep.append(b)
+            at += n
+        want[i] = "\n".join(keep)
+    assert {r.page_id: r.text for r in host_suffix.extract(pages).collect()} == want
+    assert any("w" in t and len(t.split()) < 250 for t in want.values())
+
+
 def test_a_head_ends_where_the_body_begins():
     for opened in ("<head><title>t</title><meta charset=utf-8><body><p>", "<head><link rel=x><p>", "<HEAD><style>p {}</style>\n", "<head></head><body>", "<head><title>t</title></head><p>"):
         assert host_suffix.blocks_of(f"<html>{opened}main text</p></html>") == (False, ["main text"], [])
