@@ -118,10 +118,26 @@ def one_row_each(docs: DataFrame, name: str) -> DataFrame:
     repeated = checkpoint_frame(docs.groupBy(F.col(name).alias("many_id")).agg(F.count(F.lit(1)).alias("many")).where("many > 1 AND many_id IS NOT NULL").select("many_id"))
     if repeated.isEmpty():
         return docs
-    first = docs.join(repeated, docs[name] == repeated["many_id"], "left_semi").dropDuplicates([name])
+    first = docs.join(repeated, docs[name] == repeated["many_id"], "left_semi").dropDuplicates([name])  # used on keys of equal texts
     return without_ids(docs, repeated, name).unionByName(first)
 
 
+def row_keys(docs: DataFrame, name: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with a key for each distinct (id, text), and the key's column: the id itself where it names one row, else a hash of both.
+
+    Hashes lie above 2 ** 62, so they stand behind ordinary ids. Facts of a row (near copy, contamination) can be told apart by it where several
+    rows have one id or none. Ids are counted on their column alone; rows are joined with repeated ids only if there are any.
+    """
+    key, own = fresh_name("row", docs), F.col(name).cast("long")
+    hashed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(own, F.col(text).cast("string")), 2)
+    repeated = checkpoint_frame(docs.groupBy(own.alias("many_id")).agg(F.count(F.lit(1)).alias("many")).where("many > 1 AND many_id IS NOT NULL").select("many_id"))
+    if repeated.isEmpty():
+        return docs.withColumn(key, F.coalesce(own, hashed)), key
+    many = fresh_name("many", docs)
+    joined = docs.join(repeated.select(F.col("many_id").alias(many)), own == F.col(many), "left")
+    return joined.withColumn(key, F.when(own.isNull() | F.col(many).isNotNull(), hashed).otherwise(own)).drop(many), key
+
+
 def in_blocks(members: DataFrame, key: str, parts: Column, by: str) -> DataFrame:
     """Members once for each pair of blocks that their block is in; lo and hi name the pair, own the member's block."""
     own = F.pmod(F.xxhash64(by), parts).cast("int")

@@ -107,6 +107,12 @@ def test_forest_equals_brute_force(spark):
     assert rp_forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_forest_takes_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [5e-324, 0.0]), (6, [1e308, 0.0]), (7, [0.0, -1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_winnowing_equals_brute_force(spark, docs, texts):
     items = [(1, prose(4, 40)), (2, "One TWO"), (3, None), (4, "..."), (5, prose(9, 12)), (10, prose(4, 40)), (6, prose(1, 200).split(" ", 20)[-1])]
     window = defaultdict(set)
