@@ -27,7 +27,7 @@ def recommend_from_insights(insights: DataFrame) -> DataFrame:
     ], F.when(F.size("evidence") > 0, "evidence"))
     numeric = F.filter("evidence", lambda e: e["value"].isNotNull())
     severity = F.array_max(F.transform(numeric, lambda e: F.when(e["value"].between(0, 100), e["value"] / 100).otherwise(0.5)))
-    metric = numeric[0]["kpi"]
+    metric = F.get(numeric, F.lit(0))["kpi"]
     typed = insights.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("severity", severity).withColumn(
         "metric", F.when(F.size(numeric) > 0, metric)
     )
@@ -68,7 +68,7 @@ def rank_recommendations(recommendations: DataFrame) -> DataFrame:
 def prioritized(insights: DataFrame, limit: int | None = None) -> DataFrame:
     """An action plan per insight by the words of the finding; the best ``limit`` per data set where the caller asks for that."""
     finding = F.lower(F.coalesce("observation", "title"))
-    focus = humanize(F.coalesce(F.col("evidence")[0]["kpi"], F.col("title")))
+    focus = humanize(F.coalesce(F.get("evidence", F.lit(0))["kpi"], F.col("title")))
     problem, dependent, growing = (contains_any(finding, w) for w in (L.PROBLEM_WORDS, L.CONCENTRATION_WORDS, L.GROWTH_WORDS))
     action = (
         F.when(problem, F.concat(F.lit("Assign an owner to fix the "), focus, F.lit(" issue this week, validate the affected rows, and protect the highest-value segment before the next reporting cycle.")))

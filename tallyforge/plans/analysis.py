@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tallyforge.functions import lookups as L
 from tallyforge.functions.semantics import NUMERIC_TYPES, TIME_TYPES, numeric_columns, text_columns
 from tallyforge.operators import (
-    anomaly as A, catalog as CA, charts as CH, forecast as FO, grouped as G, insight as I, kpi as K, models as MO,
+    anomaly as A, backbone as B, catalog as CA, charts as CH, forecast as FO, grouped as G, insight as I, kpi as K, models as MO,
     multivariate as M, normalize as N, profile as P, report as R, trend as TR,
 )
 from tallyforge.session import checkpoint_frame, staged_table
@@ -40,7 +41,8 @@ def run_analysis(
 
     All rows are used. The table is written once as Parquet because some thirty sections read columns of
     it; a section is computed when it is added, so its status tells how it ended. ``order_by`` (default: the time
-    column) orders rows for sudden moves, with a hash of the row for ties; ``key`` names rows for the model-based detectors.
+    column) orders rows for sudden moves, with a hash of the row for ties; ``key`` names rows for the model-based detectors. Without
+    ``models`` the forecasts to choose from, segments, drivers, detectors and the sections that put signals into words are left out.
     """
     repeated: list[str] = []
     if infer_types:
@@ -84,6 +86,8 @@ def run_analysis(
         out.add("seasonality", lambda: TR.seasonality(data, time, measure))
         out.add("forecast", lambda: FO.forecast(data, time, numbers))
         out.add("line", lambda: CH.line(data, time, numbers))
+        if models:
+            out.add("forecast_selection", lambda: FO.select_forecast(FO.forecast_candidates(FO.daily_points(data, time, numbers))))
         customer = next(iter(K.roles_of(data.columns)["Customers"]), None)
         if customer:
             out.add("cohorts", lambda: TR.cohorts(data, customer, time))
@@ -92,6 +96,11 @@ def run_analysis(
         out.add("drivers", lambda: MO.driver_importance(data, numbers))
         if key:
             out.add("isolation_forest", lambda: M.summarize(data, key, numbers, M.isolation_forest(data, key, numbers), "Isolation Forest"))
+            out.add("local_outlier_factor", lambda: M.summarize(
+                data, key, numbers, M.local_outlier_factor(data, key, numbers).where("lof > 1.5"), "Local Outlier Factor"))
+            out.add("density_noise", lambda: M.summarize(data, key, numbers, M.density_noise(data, key, numbers), "DBSCAN"))
+    if models and numbers and time:
+        _evidence(out, data, numbers, time, measure, dimension)
     out.add("insights", lambda: _ranked(I.insight_battery(data, time, dataset_id)))
     if "insights" in out.sections:
         scored = I.score_insights(out.sections["insights"])
@@ -101,6 +110,42 @@ def run_analysis(
     return out
 
 
+def _evidence(out: Analysis, data: DataFrame, numbers: list[str], time: str, measure: str, dimension: str | None) -> None:
+    """The sections that put signals into words: evidence, enriched figures and anomalies, causes, executive outputs.
+
+    Signals are small tables, computed once as sections; where one failed, the sections that need it fail and say so.
+    """
+    id_ = I.KEY
+    lines = data.drop(id_).withColumn(id_, F.lit(out.dataset_id))
+    part = out.sections
+    if dimension:
+        out.add("pareto_signal", lambda: I.pareto_signal(lines, dimension, measure))
+        out.add("concentration_signal", lambda: I.concentration_signal(lines, dimension))
+    out.add("distribution_signal", lambda: B.numeric_stats(lines, numbers, [id_]).select(id_, "column", F.round("skew", 4).alias("skew")))
+    out.add("anomaly_signal", lambda: I.anomaly_signal(lines, numbers))
+    out.add("movement_signal", lambda: I.movement_signal(lines, time, numbers))
+    if dimension:
+        out.add("evidence_insights", lambda: I.evidence_insights(*(part[f"{k}_signal"] for k in ("pareto", "concentration", "distribution", "anomaly", "movement"))))
+        out.add("enriched_anomalies", lambda: A.enrich_anomalies(part["anomaly_signal"], TR.leader_gap(lines, dimension, [measure], [id_]).select(
+            id_, "measure", "leader", F.round("difference_percent", 1).alias("lift_percent")).join(
+                TR.recent_week_change(lines, time, measure, [id_]).select(id_, "change_percent"), id_, "left")))
+    roles = [(out.dataset_id, role) for role, columns in K.roles_of(data.columns).items() if columns]
+    spark = data.sparkSession
+    if "business_kpis" in part:
+        counted = F.col("kpi").isin(*L.DISTINCT_ROLES)  # figures named by their role count its distinct values
+        figures = part["business_kpis"].withColumn(id_, F.lit(out.dataset_id)).withColumn("aggregation", F.when(counted, "nunique").otherwise("sum"))
+        out.add("enriched_kpis", lambda: K.enrich_kpis(
+            figures, part["trend_engine"].where("grain = 'MoM'").select(F.lit(out.dataset_id).alias(id_), F.col("measure").alias("column"), F.col("growth_percent").alias("trend"), "previous"),
+            (part["forecast_selection"] if "forecast_selection" in part else FO.select_forecast(FO.linear_candidates(FO.daily_points(data, time, numbers)))).select(
+                F.lit(out.dataset_id).alias(id_), F.col("measure").alias("column"), "predicted_value", "change_percent"), [id_]))
+        out.add("root_causes", lambda: A.root_causes(
+            part["anomaly_signal"], figures.select(id_, "kpi", F.explode("source_columns").alias("column")), spark.createDataFrame(roles, f"{id_} string, role string")))
+    if "evidence_insights" in part:
+        out.add("executive_outputs", lambda: R.executive_outputs(
+            P.dataset_health(data, numbers).select(F.lit(out.dataset_id).alias(id_), "missing_percent", "duplicate_percent"),
+            part["evidence_insights"], part["anomaly_signal"], part["movement_signal"], R.prioritized(part["evidence_insights"])))
+
+
 def _ordered(data: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str], Column]:
     """The table with a hash of the row as last tie breaker, its total order, and buckets that rise with the first order column."""
     first = data.schema[order_by[0]].dataType
@@ -122,10 +167,7 @@ def _ranked(battery: DataFrame) -> DataFrame:
     return battery.withColumn("rank", rank).withColumn("recommendation", F.lit(None).cast("string")).drop("section")
 
 
-def section_sizes(
-    spark: SparkSession, result: Analysis,
-    names: tuple[str, ...] = ("shape", "missing", "kpis", "trend_engine", "correlations", "concentration", "seasonality", "pareto"),
-) -> DataFrame:
-    """(section, rows) of some sections, each computed over the whole table."""
-    rows = [(n, result.sections[n].count() if n in result.sections else None) for n in names]
-    return spark.createDataFrame(rows, "section string, rows int")
+def section_sizes(spark: SparkSession, result: Analysis, names: tuple[str, ...] | None = None) -> DataFrame:
+    """(section, rows, status) of every section that was tried (or of ``names``); rows are NULL where a section failed."""
+    rows = [(n, result.sections[n].count() if n in result.sections else None, result.status.get(n, "not tried")) for n in names or result.status]
+    return spark.createDataFrame(rows, "section string, rows int, status string")

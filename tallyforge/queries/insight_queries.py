@@ -374,11 +374,13 @@ def kpi14(spark, sf):
     return found.select("dataset_id", "kpi", "value", "trend", "trend_direction", "previous_value", "confidence_label", "is_good", "should_act")
 
 
+_COUNTED = ("shape", "missing", "kpis", "trend_engine", "correlations", "concentration", "seasonality", "pareto")
+
+
 @query("rpt7_run_analysis", sql("sales", """
     SELECT unnest(['shape', 'missing', 'kpis', 'trend_engine', 'correlations', 'concentration', 'seasonality', 'pareto']) AS section,
-           unnest([1, 10, (SELECT 6 + (count(DISTINCT product_name) <= 50)::INT FROM sales), 16, 6, 4, 1, 3]) AS rows"""))
+           unnest([1, 10, (SELECT 6 + (count(DISTINCT product_name) <= 50)::INT FROM sales), 16, 6, 4, 1, 3]) AS rows, 'ok' AS status"""))
 def rpt7(spark, sf):
     from tallyforge.plans.analysis import run_analysis, section_sizes
 
-    result = run_analysis(Tables(spark, sf).sales, "sales", models=False)
-    return section_sizes(spark, result)
+    return section_sizes(spark, run_analysis(Tables(spark, sf).sales, "sales", models=False), _COUNTED)
