@@ -100,7 +100,7 @@ VIEWS["intents"] = (["resolved"], f"""
         WHEN top AND segment THEN 'leader' WHEN top THEN 'highest_value' WHEN {_has(*L.AVERAGE_WORDS)} THEN 'average' WHEN {_has(*L.COMMON_WORDS)} THEN 'most_common'
         WHEN {_has(*L.OUTLIER_WORDS)} THEN 'outliers' WHEN {_has(*L.ROW_WORDS)} THEN 'rows' WHEN {_has(*L.COLUMN_WORDS)} THEN 'columns'
         WHEN {_has(*L.QUALITY_WORDS)} THEN 'quality' WHEN {_has(*L.ADVICE_WORDS)} THEN 'advice' ELSE 'unknown' END AS rule
-    FROM (SELECT *, {_has(*L.TOP_WORDS)} AS top, greatest(1, least(25, coalesce(try_cast(regexp_extract(q, 'top\s+(\d+)', 1) AS INTEGER), 1))) AS n,
+    FROM (SELECT *, {_has(*L.TOP_WORDS)} AS top, greatest(1, least(25, coalesce(try_cast(regexp_extract(q, 'top\\s+(\\d+)', 1) AS INTEGER), 1))) AS n,
                  named IS NOT NULL OR {' OR '.join(_role(r) for r in ('category', 'product', 'city', 'customer', 'date'))} AS segment FROM resolved)""")
 
 
