@@ -120,6 +120,42 @@ def ml1b(spark, sf):
     return FE.impute_by_group(h, ["quantity", "discount"], "region")
 
 
+VIEWS["holed_customers"] = ([], """
+    SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 7 <> 0 THEN n::DOUBLE END AS orders,
+           CASE WHEN c_custkey % 11 <> 0 THEN top END AS largest
+    FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+
+
+def holed_customers(t: Tables) -> DataFrame:
+    """Balance, number of orders and largest order of every customer, with holes by key and where there are no orders."""
+    made = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("o_totalprice").alias("top"))
+    k = F.col("c_custkey")
+    return t.customer.join(made, "c_custkey", "left").select(
+        k.alias("customer_id"), F.when(k % 5 != 0, F.col("c_acctbal")).alias("balance"), F.when(k % 7 != 0, F.col("n")).alias("orders"),
+        F.when(k % 11 != 0, F.col("top")).alias("largest"))
+
+
+_FEATURES = ["balance", "orders", "largest"]
+_SHARED = " + ".join(f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)::INT" for c in _FEATURES)
+_SQUARES = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0e0)" for c in _FEATURES)
+
+
+def _nearest_sql(c: str) -> str:
+    return f"""(SELECT customer_id, avg(value) AS value FROM (
+        SELECT a.customer_id, b.{c} AS value, row_number() OVER (PARTITION BY a.customer_id ORDER BY sqrt({_SQUARES}) * sqrt(3e0 / ({_SHARED})), b.{c}) AS i
+        FROM holed_customers a JOIN holed_customers b ON a.{c} IS NULL AND b.{c} IS NOT NULL AND {_SHARED} > 0) WHERE i <= 5 GROUP BY 1) {c}_near"""
+
+
+@query("ml1_impute_nearest", sql("holed_customers", f"""
+    SELECT h.customer_id, {', '.join(f"round(coalesce(h.{c}, {c}_near.value, (SELECT avg({c}) FROM holed_customers)), 4) AS {c}" for c in _FEATURES)}
+    FROM holed_customers h {' '.join(f"LEFT JOIN {_nearest_sql(c)} ON {c}_near.customer_id = h.customer_id" for c in _FEATURES)}"""))
+def ml1c(spark, sf):
+    from tallyforge.operators.nearest_impute import impute_nearest
+
+    filled = impute_nearest(holed_customers(Tables(spark, sf)), _FEATURES)
+    return filled.select("customer_id", *[F.round(c, 4).alias(c) for c in _FEATURES])
+
+
 @query("ml2_standardize", sql("user_features", """
     SELECT user_id, round((events - avg(events) OVER ()) / stddev_pop(events) OVER (), 6) AS events_scaled,
            round((total - avg(total) OVER ()) / stddev_pop(total) OVER (), 6) AS total_scaled FROM user_features"""))
