@@ -524,13 +524,5 @@ def st3(spark, sf):
     WITH d AS (SELECT date_trunc('day', ts) AS day, sum(value) AS v, count(*) AS n FROM events GROUP BY 1)
     SELECT strftime(day, '%Y-%m-%d') AS day, round(v, 4) AS total, n AS records, round((v - lag(v) OVER (ORDER BY day)) / abs(lag(v) OVER (ORDER BY day)) * 100, 2) AS growth_percent FROM d""")
 def st4(spark, sf):
-    from pyspark.sql import Window as W
-
-    from tallyforge.functions.semantics import growth
-
     days = ST.stream_trend(event_stream(spark, sf), scratch_folder(spark))
-    order = W.orderBy("day")
-    return days.select(
-        F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("total", 4).alias("total"), "records",
-        growth(F.col("total"), F.lag("total").over(order)).alias("growth_percent"),
-    )
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("total", 4).alias("total"), "records", "growth_percent")

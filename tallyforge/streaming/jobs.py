@@ -7,6 +7,8 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyforge.functions.lookups import RATE_LIMIT, RATE_WINDOW_SECONDS
+from tallyforge.functions.ordered import bucketed_previous
+from tallyforge.functions.semantics import growth
 from tallyforge.operators.usage import admit
 
 
@@ -77,25 +79,53 @@ def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Finished versions below ``folder`` and their paths."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    paths = [str(f.getPath().toString()) for f in fs.listStatus(root)]
+    done = [p for p in paths if "/version=" in p and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
+    return {int(p.rsplit("=", 1)[1]): p for p in done}
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stream_trend(events: DataFrame, path: str, measure: str = "value", delay: str = "1 hour") -> DataFrame:
-    """Keep daily totals current: changed days of each micro-batch are appended with its number.
+    """(day, total, records, growth_percent) kept current: daily totals and their change against the previous day with records.
 
-    A restart repeats a batch into the same folder, so totals are never counted twice;
-    readers take the newest version of every day.
+    Every micro-batch merges its changed days into the table of days and writes the next version; versions before the last one are
+    deleted, so the folder holds two tables of days at most. A restart repeats a batch from the same earlier version, so totals are never
+    counted twice. Rows without a time are dropped; without any rows the result is empty.
     """
+    spark = events.sparkSession
+    folder, columns = f"{path}/days", ["day", "total", "records"]
     daily = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.sum(measure).alias("total"), F.count(F.lit(1)).alias("records")
     ).select(F.col("w.start").alias("day"), "total", "records")
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/days/version={number}")
+        session = batch.sparkSession
+        earlier = {n: p for n, p in _versions(session, folder).items() if n < number}
+        days = batch.withColumn("newer", F.lit(1))
+        if earlier:
+            known = session.read.schema(daily.schema).parquet(earlier[max(earlier)])
+            days = days.unionByName(known.withColumn("newer", F.lit(0)))
+        kept = days.groupBy("day").agg(F.max_by(F.struct("total", "records"), "newer").alias("v")).select("day", "v.total", "v.records")
+        kept.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        for old in sorted(earlier)[:-1]:
+            _drop(session, earlier[old])
 
     stream = (
         daily.writeStream.outputMode("update").foreachBatch(merge)
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
     stream.awaitTermination()
-    versions = daily.sparkSession.read.parquet(f"{path}/days")
-    return versions.groupBy("day").agg(F.max_by(F.struct("total", "records"), "version").alias("v")).select(
-        "day", "v.total", "v.records"
-    )
+    written = _versions(spark, folder)
+    days = spark.read.schema(daily.schema).parquet(written[max(written)]) if written else spark.createDataFrame([], daily.schema)
+    ranked = bucketed_previous(days, ["total"], ["day"], F.date_trunc("month", "day"))
+    return ranked.select(*columns, growth(F.col("total"), F.col("prev_total")).alias("growth_percent"))
