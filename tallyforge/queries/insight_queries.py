@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.functions import lookups as L
 from tallyforge.functions.semantics import percent
-from tallyforge.operators import anomaly as A, backbone as B, forecast as FO, insight as I, kpi as K, profile as P, report as R, trend as TR
+from tallyforge.operators import anomaly as A, backbone as B, catalog as CA, forecast as FO, insight as I, kpi as K, profile as P, report as R, trend as TR
 from tallyforge.plans import ask as ASK
 from tallyforge.queries.base import VIEWS, Tables, query, sql
+from tallyforge.queries.model_queries import domain_sql, keyword_rows
 from tallyforge.queries.usage_queries import uploads, users
 
 MEASURES = ["quantity", "revenue"]
@@ -63,6 +64,16 @@ class Signals:
         return facts.select("dataset_id", "rows", percent(F.col("m"), F.col("rows") * 2, 2).alias("missing_percent"),
                             percent(F.col("d"), F.col("rows") * 10, 2).alias("duplicate_percent"))
 
+    @property
+    def catalog(self) -> DataFrame:
+        """The columns of every supplier's lines: a column belongs to a data set where it holds a value."""
+        lines = self.lines.drop("dataset_id")
+        kind = {name: "number" if t in ("double", "bigint", "int") else "time" if t.startswith("timestamp") else "text" for name, t in lines.dtypes}
+        seen = self.lines.groupBy("dataset_id").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in lines.columns])
+        named = F.filter(F.array(*[F.when(F.col(c), F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.lit(kind[c]).alias("data_type")))
+                                   for i, c in enumerate(lines.columns)]), lambda x: x.isNotNull())
+        return seen.select("dataset_id", F.inline(named))
+
     @property
     def forecasts(self) -> DataFrame:
         points = FO.daily_points(self.lines, "ship_date", ["quantity"], ["dataset_id"])
@@ -102,6 +113,13 @@ VIEWS["sig_move"] = (["sig_daily"], """
     FROM (SELECT *, lag(v) OVER w AS p, row_number() OVER (PARTITION BY dataset_id, "column" ORDER BY m DESC) AS k FROM (""" + " UNION ALL ".join(f"""
         SELECT dataset_id, '{c}' AS "column", date_trunc('month', start) AS m, sum({c}) AS v FROM sig_daily GROUP BY 1, 3""" for c in MEASURES) + """)
         WINDOW w AS (PARTITION BY dataset_id, "column" ORDER BY m)) WHERE k = 1 AND p IS NOT NULL""")
+VIEWS["sig_catalog"] = (["supplier_lines"], " UNION ALL ".join(f"""
+    SELECT dataset_id, '{c}' AS column_name, {i} AS position, '{kind}' AS data_type FROM supplier_lines GROUP BY 1 HAVING count({c}) > 0"""
+    for i, (c, kind) in enumerate([("ship_date", "time"), ("brand", "text"), ("revenue", "number"), ("quantity", "number"), ("tail", "number")])))
+VIEWS["sig_forecast"] = (["sig_daily"], """
+    SELECT dataset_id, 'quantity' AS "column", predicted, (predicted - cur) / nullif(abs(cur), 0) * 100 AS change FROM (
+        SELECT dataset_id, arg_max(y, x) AS cur, regr_intercept(y, x) + regr_slope(y, x) * (max(x) + 30) AS predicted FROM (
+            SELECT dataset_id, quantity AS y, (row_number() OVER (PARTITION BY dataset_id ORDER BY start) - 1)::DOUBLE AS x FROM sig_daily) GROUP BY 1 HAVING count(y) >= 8)""")
 _COL = _label('"column"')
 VIEWS["insights"] = (["sig_pareto", "sig_conc", "sig_dist", "sig_anom", "sig_move"], f"""
     SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY kind, pos)::INT AS rank FROM (
@@ -292,16 +310,18 @@ def rpt6(spark, sf):
     return ASK.suggestions(Tables(spark, sf).holed)
 
 
-@query("rpt8_lifecycle", sql("quality plans", """
-    SELECT q.dataset_id, rows, 5::BIGINT AS columns, 'sales' AS domain, 100 - missing_percent AS overall_health_score, 'Linear trend fallback' AS models_used,
-           format('{} rows, 5 columns, {} insights, {} recommendations', rows, i, p) AS summary FROM quality q
-    JOIN (SELECT dataset_id, count(*) AS i FROM insights GROUP BY 1) USING (dataset_id) JOIN (SELECT dataset_id, count(*) AS p FROM plans GROUP BY 1) USING (dataset_id)"""))
+@query("rpt8_lifecycle", domain_sql("sig_catalog quality plans", "sig_catalog") + """
+    SELECT q.dataset_id, rows, (SELECT count(*) FROM sig_catalog c WHERE c.dataset_id = q.dataset_id) AS columns, CASE WHEN total > 0 THEN name ELSE 'generic' END AS domain,
+           100 - missing_percent AS overall_health_score, 'Linear trend fallback' AS models_used,
+           format('{} rows, {} columns, {} insights, {} recommendations', rows, (SELECT count(*) FROM sig_catalog c WHERE c.dataset_id = q.dataset_id), i, p) AS summary FROM quality q
+    JOIN (SELECT dataset_id, name, total FROM k WHERE i = 1) USING (dataset_id)
+    JOIN (SELECT dataset_id, count(*) AS i FROM insights GROUP BY 1) USING (dataset_id) JOIN (SELECT dataset_id, count(*) AS p FROM plans GROUP BY 1) USING (dataset_id)""")
 def rpt8(spark, sf):
     s = Signals(spark, sf)
-    shape = s.quality.select("dataset_id", "rows", F.lit(5).cast("long").alias("columns"))
-    domains = s.quality.select("dataset_id", F.lit("sales").alias("domain"))
+    widths = s.catalog.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("columns"))
+    shape = s.quality.select("dataset_id", "rows").join(widths, "dataset_id")
     health = s.quality.select("dataset_id", (100 - F.col("missing_percent")).alias("overall_health_score"))
-    return R.lifecycle(shape, domains, health, s.forecasts.select("dataset_id", "model"), s.insights, s.plans)
+    return R.lifecycle(shape, CA.classify_domain(s.catalog).select("dataset_id", "domain"), health, s.forecasts.select("dataset_id", "model"), s.insights, s.plans)
 
 
 @query("rpt9_report", sql("users plans", """
@@ -347,31 +367,30 @@ def anm8(spark, sf):
     return found.select("dataset_id", "column", "headline", "business_impact", "severity", "confidence", "anomaly_count")
 
 
-@query("anm9_root_causes", sql("sig_anom", """
-    SELECT dataset_id, "column", CASE WHEN dataset_id % 2 = 0 THEN 'order volume or customer mix changed; product availability or inventory mix changed'
-                                      ELSE 'source data, outlier rows, or upstream transformation changed' END AS possible_causes,
-           CASE WHEN "column" = 'revenue' THEN 'Average Order Value, Revenue Total' ELSE 'tail' END AS affected_metrics, severity,
-           (CASE WHEN severity = 'high' THEN 72 ELSE 62 END)::BIGINT AS confidence FROM sig_anom"""))
+@query("anm9_root_causes", sql("sig_anom sig_move sig_catalog", f"""
+    , r AS (SELECT DISTINCT dataset_id, name AS role FROM sig_catalog, {keyword_rows(L.ROLE_KEYWORDS)} WHERE contains(replace(lower(column_name), '_', ' '), word))
+    , c AS (SELECT dataset_id, concat_ws('; ', CASE WHEN bool_or(role IN ('Orders', 'Customers')) THEN 'order volume or customer mix changed' END,
+                   CASE WHEN bool_or(role IN ('Inventory', 'Products')) THEN 'product availability or inventory mix changed' END,
+                   CASE WHEN bool_or(role IN ('Cost', 'Profit', 'Margins')) THEN 'cost, margin, or pricing pressure changed' END) AS causes FROM r GROUP BY 1)
+    SELECT a.dataset_id, a."column", coalesce(nullif(causes, ''), 'source data, outlier rows, or upstream transformation changed') AS possible_causes,
+           coalesce(m.kpi, a."column") AS affected_metrics, severity, (CASE WHEN severity = 'high' THEN 72 ELSE 62 END)::BIGINT AS confidence
+    FROM sig_anom a LEFT JOIN c ON c.dataset_id = a.dataset_id LEFT JOIN sig_move m ON m.dataset_id = a.dataset_id AND m."column" = a."column" """))
 def anm9(spark, sf):
     s = Signals(spark, sf)
-    keys = s.lines.select("dataset_id").distinct()
-    kpis = keys.select("dataset_id", F.explode(F.array(F.lit("Revenue Total"), F.lit("Average Order Value"))).alias("kpi"), F.lit("revenue").alias("column"))
-    roles = keys.where("dataset_id % 2 = 0").select("dataset_id", F.explode(F.array(F.lit("Orders"), F.lit("Products"))).alias("role"))
-    return A.root_causes(s.anomalies, kpis, roles)
+    return A.root_causes(s.anomalies, s.movements.select("dataset_id", "kpi", "column"), CA.find_roles(s.catalog).select("dataset_id", "role"))
 
 
-@query("kpi14_enrich_kpis", sql("sig_move", """
-    SELECT dataset_id, kpi, value, round(coalesce(CASE WHEN trend <> 0 THEN trend END, 0), 2) AS trend,
-           CASE WHEN trend > 0 THEN 'up' WHEN trend < 0 THEN 'down' ELSE 'flat' END AS trend_direction, previous AS previous_value,
-           'High' AS confidence_label, coalesce(trend, 0) > 0 AS is_good, coalesce(trend, 0) <> 0 OR "column" = 'quantity' AS should_act FROM sig_move"""))
+@query("kpi14_enrich_kpis", sql("sig_move sig_forecast", """
+    , j AS (SELECT m.*, f.predicted, coalesce(CASE WHEN m.trend <> 0 THEN m.trend END, f.change, 0) AS moved FROM sig_move m LEFT JOIN sig_forecast f USING (dataset_id, "column"))
+    SELECT dataset_id, kpi, value, round(moved, 2) AS trend, CASE WHEN moved > 0 THEN 'up' WHEN moved < 0 THEN 'down' ELSE 'flat' END AS trend_direction,
+           previous AS previous_value, round(predicted, 2) AS forecast, 'High' AS confidence_label, moved > 0 AS is_good, predicted IS NOT NULL OR moved <> 0 AS should_act FROM j"""))
 def kpi14(spark, sf):
     s = Signals(spark, sf)
     growth = TR.period_growth(s.lines, "ship_date", MEASURES, ["dataset_id"]).where("grain = 'MoM'")
     kpis = s.movements.select("dataset_id", "kpi", "value", F.array("column").alias("source_columns"), F.lit("sum").alias("aggregation"), "confidence")
     trends = growth.select("dataset_id", F.col("measure").alias("column"), F.col("growth_percent").alias("trend"), "previous")
-    forecasts = s.forecasts.select("dataset_id", "column", "predicted_value", F.when(F.lit(False), F.col("change_percent")).alias("change_percent"))
-    found = K.enrich_kpis(kpis, trends, forecasts, ["dataset_id"])
-    return found.select("dataset_id", "kpi", "value", "trend", "trend_direction", "previous_value", "confidence_label", "is_good", "should_act")
+    found = K.enrich_kpis(kpis, trends, s.forecasts.select("dataset_id", "column", "predicted_value", "change_percent"), ["dataset_id"])
+    return found.select("dataset_id", "kpi", "value", "trend", "trend_direction", "previous_value", "forecast", "confidence_label", "is_good", "should_act")
 
 
 _COUNTED = ("shape", "missing", "kpis", "trend_engine", "correlations", "concentration", "seasonality", "pareto")

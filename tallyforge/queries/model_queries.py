@@ -39,7 +39,7 @@ def catalog(t: Tables) -> DataFrame:
     ).distinct()
 
 
-def _words(table: dict[str, list[str]]) -> str:
+def keyword_rows(table: dict[str, list[str]]) -> str:
     rows = [f"('{d}', {i}, '{w}')" for i, (d, words) in enumerate(table.items()) for w in words]
     return f"(VALUES {', '.join(rows)}) w(name, o, word)"
 
@@ -48,7 +48,7 @@ _LOW = "replace(lower(column_name), '_', ' ')"
 
 
 @query("prf24_find_roles", sql("catalog", f"""
-    SELECT DISTINCT dataset_id, column_name, name AS role FROM catalog, {_words(L.ROLE_KEYWORDS)} WHERE contains({_LOW}, word)"""))
+    SELECT DISTINCT dataset_id, column_name, name AS role FROM catalog, {keyword_rows(L.ROLE_KEYWORDS)} WHERE contains({_LOW}, word)"""))
 def prf24(spark, sf):
     return CA.find_roles(catalog(Tables(spark, sf)))
 
@@ -61,7 +61,7 @@ def _choice_sql(kind: str, roles: list[str]) -> str:
 
 
 @query("prf25_choose_columns", sql("catalog", f"""
-    , r AS (SELECT DISTINCT dataset_id, column_name, name AS role FROM catalog, {_words(L.ROLE_KEYWORDS)} WHERE contains({_LOW}, word))
+    , r AS (SELECT DISTINCT dataset_id, column_name, name AS role FROM catalog, {keyword_rows(L.ROLE_KEYWORDS)} WHERE contains({_LOW}, word))
     SELECT d.dataset_id, m.c AS measure, x.c AS dimension, t.c AS time FROM (SELECT DISTINCT dataset_id FROM catalog) d
     LEFT JOIN {_choice_sql('number', L.MEASURE_PRIORITY)} m USING (dataset_id) LEFT JOIN {_choice_sql('text', L.DIMENSION_PRIORITY)} x USING (dataset_id)
     LEFT JOIN (SELECT dataset_id, arg_min(column_name, struct_pack(a := (data_type <> 'time')::INT, b := position)) AS c FROM catalog
@@ -70,25 +70,37 @@ def prf25(spark, sf):
     return CA.choose_columns(catalog(Tables(spark, sf)))
 
 
-def _domain_sql(table: dict[str, list[str]], boosts: str, fallback: str) -> str:
+def _score_sql(table: dict[str, list[str]], boosts: str, catalog: str = "catalog") -> str:
     names = ", ".join(f"('{d}', {i})" for i, d in enumerate(table))
-    return sql("catalog", f"""
-    , h AS (SELECT dataset_id, name, count(*) AS hits FROM catalog, {_words(table)} WHERE contains({_LOW}, word) GROUP BY 1, 2)
+    return f"""
+    , h AS (SELECT dataset_id, name, count(*) AS hits FROM {catalog}, {keyword_rows(table)} WHERE contains({_LOW}, word) GROUP BY 1, 2)
     , f AS (SELECT dataset_id, bool_or(data_type = 'number') AS num, bool_or(data_type = 'time') AS tim, count(*) FILTER (WHERE data_type = 'text') AS txt,
                    bool_or(regexp_matches(lower(column_name), 'patient|claim')) AS care, bool_or(regexp_matches(lower(column_name), 'employee|salary')) AS staff,
                    bool_or(regexp_matches(lower(column_name), 'date|time')) AS dated, bool_or(regexp_matches(lower(column_name), 'product|category|sku')) AS goods,
-                   bool_or(regexp_matches(lower(column_name), 'amount|balance|transaction')) AS money FROM catalog GROUP BY 1)
+                   bool_or(regexp_matches(lower(column_name), 'amount|balance|transaction')) AS money FROM {catalog} GROUP BY 1)
     , s AS (SELECT f.dataset_id, d.name, d.o, coalesce(h.hits, 0) + {boosts} AS score FROM f CROSS JOIN (VALUES {names}) d(name, o)
             LEFT JOIN h ON h.dataset_id = f.dataset_id AND h.name = d.name)
     , n AS (SELECT *, sum(score) OVER (PARTITION BY dataset_id) AS total FROM s)
     , q AS (SELECT *, CASE WHEN total > 0 THEN round(score / total, 4) END AS share FROM n)
-    , k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY share DESC, o) AS i FROM q)
+    , k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY share DESC, o) AS i FROM q)"""
+
+
+def _domain_sql(table: dict[str, list[str]], boosts: str, fallback: str) -> str:
+    return sql("catalog", _score_sql(table, boosts) + f"""
     SELECT dataset_id, CASE WHEN total > 0 THEN name ELSE 'generic' END AS domain, CASE WHEN total > 0 THEN share ELSE {fallback} END AS confidence FROM k WHERE i = 1""")
 
 
-@query("prf26_classify_domain", _domain_sql(L.DOMAIN_KEYWORDS, """
+_BOOSTS = """
     CASE WHEN num AND tim AND d.name IN ('sales', 'finance', 'logistics', 'marketing') THEN 0.25e0 ELSE 0e0 END
-    + CASE WHEN care AND d.name = 'healthcare' THEN 0.75e0 ELSE 0e0 END + CASE WHEN staff AND d.name = 'hr' THEN 0.75e0 ELSE 0e0 END""", "0.35e0"))
+    + CASE WHEN care AND d.name = 'healthcare' THEN 0.75e0 ELSE 0e0 END + CASE WHEN staff AND d.name = 'hr' THEN 0.75e0 ELSE 0e0 END"""
+
+
+def domain_sql(views: str, catalog: str) -> str:
+    """The views and the steps up to ``k``, which ranks the domains of every data set of ``catalog``."""
+    return sql(views, _score_sql(L.DOMAIN_KEYWORDS, _BOOSTS, catalog))
+
+
+@query("prf26_classify_domain", _domain_sql(L.DOMAIN_KEYWORDS, _BOOSTS, "0.35e0"))
 def prf26(spark, sf):
     return CA.classify_domain(catalog(Tables(spark, sf))).drop("scores")
 
