@@ -1,12 +1,13 @@
 """Toxicity of whole texts: a noisy channel is undone by Viterbi decoding, and the restored text is scored.
 
-1. ``character_model`` counts byte n-grams (orders 1 to 4, letters lower-cased, all else a blank) over all documents into a table of fixed
-   size: per-task sums, one shuffle, a table of at most ``CELLS`` counts.
+1. ``character_model`` counts byte 4-grams (letters lower-cased, all else a blank) over all documents exactly: per-task sums, one
+   shuffle, 12 bytes per distinct 4-gram on the driver; counts of shorter n-grams are sums over the 4-grams that begin with them.
 2. ``Decoder.restore`` finds tokens that look disguised (leetspeak signs among letters, letters parted by blanks or signs, repeated
    letters), builds the lattice of what each may stand for, and replaces it by the most likely path under the character model.
    Other tokens have one path and stay.
-3. ``fit`` learns which words and word beginnings speak for the label on a bounded sample of labelled rows; ``score`` adds
-   up the evidence of a text's distinct words and turns it into a probability.
+3. ``fit`` learns which words and word beginnings speak for the label on a bounded sample of labelled rows; ``score`` weighs the sum
+   of evidence of a text's distinct words and its strongest word against the number of distinct words, since a long text meets weak
+   evidence by chance, and turns them into a probability.
 
 Id, language, source and label never enter a score.
 """
@@ -23,8 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyforge.llm.rolling import _BYTE, _LOWER, Words, mix, pieces, powers, text_buffer
 
-CELLS = 1 << 20
-ORDERS = (1, 2, 3, 4)
+ORDER = 4
 #: What a sign may stand for among letters (fixed values).
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li",
          "+": "t", "€": "e", "£": "l", "(": "c", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h"}
@@ -46,80 +46,114 @@ _LEAD = _class(bytes(range(0xC2, 0xF5)))  # first byte of a character beyond ASC
 _LOW_BLANK = np.where((_LOWER == 0) | ((_LOWER >= 48) & (_LOWER <= 57)), 32, _LOWER).astype(np.uint8)
 
 
-def _cells(low: np.ndarray, order: int) -> np.ndarray:
-    """Table cells of all n-grams of bytes."""
-    x = np.zeros(max(0, len(low) - order + 1), np.uint64)
-    for j in range(order):
-        x = (x << np.uint64(8)) | low[j:len(x) + j].astype(np.uint64)
-    return (mix(x + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(CELLS - 1)).astype(np.int64)
+@dataclass
+class Grams:
+    """Distinct 4-grams of a corpus (sorted, most significant byte first) and the sum of the counts of all before each."""
+
+    keys: np.ndarray
+    before: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, counts: np.ndarray) -> Grams:
+        order = np.argsort(keys)
+        return Grams(keys[order].astype(np.uint32), np.append(0, np.cumsum(counts[order])).astype(np.int64))
+
+    def count(self, gram: bytes) -> float:
+        """How often an n-gram of 1 to 4 bytes occurs."""
+        shift = 8 * (ORDER - len(gram))
+        first = int.from_bytes(gram, "big") << shift
+        low = np.searchsorted(self.keys, np.uint32(first))
+        high = np.searchsorted(self.keys, np.uint32(first + (1 << shift) - 1), side="right")
+        return float(self.before[high] - self.before[low])
+
+    @property
+    def total(self) -> float:
+        return float(max(1, self.before[-1]))
+
 
+def _codes(low: np.ndarray) -> np.ndarray:
+    """The 4-gram that begins at every byte; blanks follow the last one."""
+    padded = np.append(low, np.full(ORDER - 1, 32, np.uint8)).astype(np.uint32)
+    return (padded[:-3] << np.uint32(24)) | (padded[1:-2] << np.uint32(16)) | (padded[2:-1] << np.uint32(8)) | padded[3:]
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """Counts per cell over all texts; texts are parted by a blank. Null and empty texts add nothing."""
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
+def character_model(docs: DataFrame) -> Grams:
+    """Exact counts over all texts, three blanks before and after each, so that they do not depend on partitions. Null and empty texts add nothing but blanks.
+
+    A task holds the distinct 4-grams of its own texts, the driver those of all: their number grows with the corpus's letters and
+    scripts, far slower than its texts.
+    """
     def count(batches):
-        total = np.zeros(CELLS, np.int64)
+        held, size = [], 0
         for batch in batches:
             buf, offsets = text_buffer(batch.column("text"))
             for _, _, part, own in pieces(buf, offsets):
-                if not len(part):
-                    continue
-                low = np.full(len(part) + len(own), 32, np.uint8)
-                low[np.arange(len(part)) + np.searchsorted(own, np.arange(len(part)), side="right")] = _LOW_BLANK[part]
-                for order in ORDERS:
-                    total += np.bincount(_cells(low, order), minlength=CELLS)
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a:a + 50_000].astype(np.int32)), pa.array(total[at[a:a + 50_000]])], ["cell", "n"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(CELLS, np.float32)
-    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return table
+                low = np.full(len(part) + (ORDER - 1) * (len(own) - 1), 32, np.uint8)
+                low[np.arange(len(part)) + (ORDER - 1) * np.searchsorted(own, np.arange(len(part)), side="right")] = _LOW_BLANK[part]
+                held.append(np.unique(_codes(low), return_counts=True))
+                size += len(held[-1][0])
+                if size > 2_000_000:
+                    held = [_merged(held)]
+                    size = min(len(held[0][0]), 1_000_000)
+        keys, counts = _merged(held) if held else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        for a in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:a + 50_000].astype(np.int64)), pa.array(counts[a:a + 50_000])], ["gram", "n"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return Grams.of(found.column("gram").to_numpy(), found.column("n").to_numpy())
 
 
 class Decoder:
     """Restores disguised tokens under a character model."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.total = table, float(max(1.0, table[np.unique(np.concatenate([_cells(np.array([b], np.uint8), 1) for b in np.unique(_LOW_BLANK)]))].sum()))
+    def __init__(self, table: Grams):
+        self.table = table
         self.known: dict[bytes, float] = {}
         self.memory: dict[str, str] = {}
 
-    def _count(self, gram: bytes) -> float:
-        return float(self.table[_cells(np.frombuffer(gram, np.uint8), len(gram))[0]])
-
     def step(self, context: bytes, byte: bytes) -> float:
         """Log probability of a byte after (at most) three bytes, interpolated over the orders."""
         key = context + byte
         got = self.known.get(key)
         if got is None:
-            p = (self._count(byte) + 0.5) / (self.total + 128)
+            p = (self.table.count(byte) + 0.5) / (self.table.total + 128)
             for k in range(1, len(context) + 1):
                 part = context[-k:]
-                p = (self._count(part + byte) + 4 * p) / (self._count(part) + 4)
+                p = (self.table.count(part + byte) + 4 * p) / (self.table.count(part) + 4)
             got = self.known[key] = float(np.log(max(p, 1e-12)))
             if len(self.known) > 200_000:
                 self.known.clear()
         return got
 
+    @staticmethod
+    def choices(observed: str) -> list[list[tuple[str, float]]]:
+        """The lattice of an observed word: what every run of equal characters may stand for, and its log cost."""
+        lattice = []
+        for char, many in [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", observed, re.S)]:
+            if char == "*":
+                lattice.append([(v * many, -1.5 * many) for v in _VOWELS] if many <= 2 else [("", -3.0)])
+                continue
+            letters = [(c, -0.2) for c in SIGNS.get(char, "")] + ([(char, 0.0)] if char.isalpha() else [(char, -6.0)])
+            options = []
+            for c, cost in letters:
+                if many == 1:
+                    options.append((c, cost))
+                else:  # one or two of a run may be meant
+                    options += [(c, cost - (1.0 if many == 2 else 0.3)), (c * 2, cost - (0.2 if many == 2 else 0.8))]
+            if many > 1 and char.isdigit():
+                options.append((char * many, -6.0 * many))
+            lattice.append(options)
+        return lattice
+
     def decode(self, observed: str) -> str:
         """The most likely intended word for what is observed (lower case, without separators)."""
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", observed, re.S)]
         states: dict[bytes, tuple[float, str]] = {b" ": (0.0, "")}
-        for char, many in runs:
-            signs = SIGNS.get(char, "")
-            if char == "*":
-                options = [(v * many, -1.5 * many) for v in _VOWELS] if many <= 2 else [("", -3.0)]
-            else:
-                letters = [(c, -0.2) for c in signs] + ([(char, 0.0)] if char.isalpha() else [(char, -6.0)])
-                options = []
-                for c, cost in letters:
-                    if many == 1:
-                        options.append((c, cost))
-                    else:  # one or two of a run may be meant
-                        options += [(c, cost - (1.0 if many == 2 else 0.3)), (c * 2, cost - (0.2 if many == 2 else 0.8))]
-                if many > 1 and char.isdigit():
-                    options.append((char * many, -6.0 * many))
+        for options in self.choices(observed):
             following: dict[bytes, tuple[float, str]] = {}
             for context, (score, text) in states.items():
                 for piece, cost in options:
@@ -262,19 +296,56 @@ def word_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return doc[at], out
 
 
+def curve_inputs(total: np.ndarray, top: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What the probability of a text rests on: its summed and its strongest evidence and, where there is any, its number of distinct words."""
+    return np.column_stack([np.log1p(total), top, np.where(total > 0, np.log1p(words), 0.0), np.ones(len(total))])
+
+
+#: Evidence may only raise a score, and length only lower it.
+_SIGNS_OF_CURVE = np.array([1.0, 1.0, -1.0, 0.0])
+
+
+def length_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Coefficients of a logistic curve over ``curve_inputs`` (Newton steps, halved while they do not help); one of the wrong sign is left out."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        own, beta = x[:, used], np.zeros(int(used.sum()))
+        penalty = np.append(np.full(len(beta) - 1, ridge), 1e-6)
+
+        def loss(b: np.ndarray) -> float:
+            z = own @ b
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * b * b).sum() / 2)
+
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(own @ beta, -40, 40)))
+            hess = own.T @ (own * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]) + np.diag(penalty)
+            step, now = np.linalg.solve(hess, own.T @ (weight * (p - y)) + penalty * beta), loss(beta)
+            while np.abs(step).max() > 1e-9 and loss(beta - step) > now:
+                step = step / 2
+            beta = beta - step
+            if np.abs(step).max() < 1e-8:
+                break
+        full = np.zeros(x.shape[1])
+        full[used] = beta
+        wrong = full * _SIGNS_OF_CURVE < 0
+        if not wrong.any():
+            return full
+        used &= ~wrong
+
+
 @dataclass
 class Model:
-    """Evidence of features (sorted hashes and weights) and the logistic curve over a text's evidence."""
+    """Evidence of features (sorted hashes and weights) and the logistic curve over a text's evidence and length."""
 
     keys: np.ndarray
     weights: np.ndarray
-    slope: float
-    shift: float
+    curve: np.ndarray
 
     def evidence(self, doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-        """Sum over distinct words of their strongest evidence."""
+        """``curve_inputs`` of texts by the strongest evidence of each of their distinct words."""
+        words = np.bincount(doc, minlength=n).astype(float) if len(doc) else np.zeros(n)
         if not len(self.keys) or not len(doc):
-            return np.zeros(n)
+            return curve_inputs(np.zeros(n), np.zeros(n), words)
         best = np.zeros(len(doc))
         for j in range(hashes.shape[1]):
             h = hashes[:, j]
@@ -282,14 +353,16 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
             hit = self.keys[at] == h[some]
             best[some[hit]] = np.maximum(best[some[hit]], self.weights[at[hit]])
-        return np.bincount(doc, weights=best, minlength=n)
+        top = np.zeros(n)
+        np.maximum.at(top, doc[best > 0], best[best > 0])
+        return curve_inputs(np.bincount(doc, weights=best, minlength=n), top, words)
 
     def __post_init__(self):
         self.screen = np.zeros(1 << 20, bool)
         self.screen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.shift, -40, 40)))
+    def probability(self, inputs: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(inputs @ self.curve, -40, 40)))
 
 
 def _bound(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -338,11 +411,9 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: floa
 
     A feature counts from a bound of ``least`` on. With one class only every score is the smoothed share of class 1.
     """
-    from tallyforge.llm.nbsvm import logistic_curve
-
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     share = (n1 + 1) / (n1 + n0 + 2)
-    flat = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, float(np.log(share / (1 - share))))
+    flat = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
     if not n1 or not n0:
         return flat
     group = copies(rows)
@@ -353,19 +424,18 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: floa
     keys, ones, zeros, weights = keys[good], ones[good], zeros[good], weights[good]
     if not len(keys):
         return flat
-    seen = np.zeros(len(y))
+    seen = np.zeros((len(y), 3))
     for i, (r, v) in enumerate(zip(rows, y, strict=True)):
         if not len(r):
             continue
         at = np.minimum(np.searchsorted(keys, r), len(keys) - 1)
         mine = _bound(ones[at] - (v == 1), zeros[at] - (v == 0), n1, n0)
-        seen[i] = np.where((keys[at] == r) & (mine >= least), mine, 0).max(1).sum()
-    many = np.maximum(1, np.rint(weight)).astype(int)
-    a, b = logistic_curve(np.repeat(np.log1p(seen), many), np.repeat(y, many), ridge=1.0)
-    return Model(keys, weights, a, b)
+        best = np.where((keys[at] == r) & (mine >= least), mine, 0).max(1)
+        seen[i] = best.sum(), best.max(), len(r)
+    return Model(keys, weights, length_curve(curve_inputs(*seen.T), y.astype(float), weight))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, table: np.ndarray, max_ones: int = 3000, max_zeros: int = 5000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, table: Grams, max_ones: int = 3000, max_zeros: int = 5000) -> Model:
     """Fit on at most ``max_ones`` and ``max_zeros`` labelled documents, those of the smallest id hash of either label.
 
     Their ids are broadcast (bounded by the parameters); classes are weighted by how much of them was left out.
@@ -394,24 +464,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, table: np.ndarray, max_o
         rows = [np.frombuffer(f, np.uint64).reshape(-1, 1 + len(PREFIXES)) for _, _, f in got]
         y = np.array([v for _, v, _ in got], int)
         model = train(rows, y, np.array([scale[v] / low for v in y.tolist()]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.keys, model.weights, model.slope, model.shift))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.keys, model.weights, model.curve))], pa.binary())], ["model"])
 
     raw = picked.mapInArrow(features, "train_id long, y int, f binary").repartition(1).mapInArrow(learn, "model binary").first()
     return Model(*pickle.loads(bytes(raw["model"]))) if raw else train([], np.zeros(0, int), np.zeros(0))
 
 
-def score(docs: DataFrame, model: Model, table: np.ndarray, out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, table: Grams, out: str = "score") -> DataFrame:
     """``docs`` with the probability of the label for every whole text; null and empty texts have no evidence.
 
     A column named ``out`` is replaced. One pass without a shuffle; repeated rows get equal scores.
     """
     docs = docs.drop(out)
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.slope, model.shift, table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.curve, table))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def add(batches):
-        keys, weights, slope, shift, own_table = shared.value
-        own, decoder = Model(keys, weights, slope, shift), Decoder(own_table)
+        keys, weights, curve, own_table = shared.value
+        own, decoder = Model(keys, weights, curve), Decoder(own_table)
         for batch in batches:
             buf, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
             found = [own.probability(own.evidence(*word_features(*decoder.restore(part, cut)), j - i)) for i, j, part, cut in pieces(buf, offsets)]
