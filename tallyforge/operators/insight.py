@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallyforge.functions.lookups import FINDING_ACTIONS, PHRASES
 from tallyforge.functions.semantics import col, numeric_columns, percent, ratio, text_columns
 from tallyforge.functions.text import first_sentence, humanize, humanize_acronyms
 from tallyforge.operators import anomaly as A, backbone as B, grouped as G, profile as P, trend as TR
@@ -181,6 +182,22 @@ def score_insights(insights: DataFrame, coverage: Column | float = 0.5) -> DataF
     )
 
 
+def with_reasoning(insights: DataFrame) -> DataFrame:
+    """Add ``reasoning``: the evidence in words, or that the finding rests on the data set's signals; values left out where NULL."""
+    named = F.transform("evidence", lambda e: F.concat(F.coalesce(e["kpi"], F.lit("")), F.lit(": "), F.coalesce(e["value"].cast("string"), F.lit(""))))
+    based = F.concat(F.lit("Based on observed evidence: "), F.array_join(named, ", "))
+    return insights.withColumn("reasoning", F.when(F.size("evidence") > 0, based).otherwise("Observation derived from dataset signals."))
+
+
+def localize_modes(rendered: DataFrame, languages: tuple[str, ...] = ("hi", "hinglish")) -> DataFrame:
+    """Add every mode of ``render_modes`` in further languages: known phrases are replaced, all else stays as it is."""
+    def said(mode: str, language: str) -> Column:
+        return reduce(lambda text, phrase: F.replace(text, F.lit(phrase[0]), F.lit(phrase[1])), PHRASES[language].items(), F.col(mode))
+
+    modes = ("mode_business", "mode_data", "mode_eli5")
+    return rendered.select("*", *[said(mode, language).alias(f"{mode}_{language}") for mode in modes for language in languages])
+
+
 def render_modes(insights: DataFrame) -> DataFrame:
     """Add the business, data and simple wording of every insight."""
     pairs = F.array_join(F.transform("evidence", lambda e: F.concat_ws("=", e["kpi"], e["value"].cast("string"))), ", ")
@@ -200,12 +217,17 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
     texts = text_columns(df)
     none = F.lit(None).cast("string")
 
-    def row(frame: DataFrame, order: int, title: Column, observation: Column, confidence: float, evidence: Column, impact: str | None = None) -> DataFrame:
+    def row(frame: DataFrame, order: int, title: Column, observation: Column, confidence: float, evidence: Column, impact: str | None = None,
+            action: Column | str | None = None) -> DataFrame:
         return frame.select(
             F.lit(dataset_id).alias(KEY), F.lit(order).alias("section"), title.alias("title"), observation.alias("observation"),
-            (F.lit(impact) if impact else none).alias("impact"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"),
+            (F.lit(impact) if impact else none).alias("impact"),
+            (none if action is None else F.lit(FINDING_ACTIONS[action]) if isinstance(action, str) else action).alias("recommendation"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"),
         )
 
+    def about(action: str, label: Column) -> Column:
+        return F.replace(F.lit(FINDING_ACTIONS[action]), F.lit("{}"), label)
+
     facts = B.row_missing_stats(df)
     parts = [row(
         facts, 0, F.lit("Executive summary"),
@@ -215,7 +237,7 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
         P.duplicate_rows(df, 1).where("duplicate_rows > 0"), 1, F.lit("Duplicate rows found"),
         F.format_string("There are %d duplicate rows (%.1f%%).", "duplicate_rows", "duplicate_percent"), 0.9,
         _evidence([(F.lit("duplicate_rows"), F.col("duplicate_rows")), (F.lit("duplicate_percent"), F.col("duplicate_percent"))]),
-        "Duplicates may artificially increase totals and distort segment shares.",
+        "Duplicates may artificially increase totals and distort segment shares.", "duplicates",
     )]
     worst = P.missing_hotspots(df).agg(F.array_sort(F.collect_list(F.struct((-F.col("missing_percent")).alias("m"), "column"))).alias("w"))
     holes = worst.withColumn("cells", facts.select("missing_cells").scalar()).where("cells > 0")
@@ -224,13 +246,13 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
         F.concat(F.col("cells").cast("string"), F.lit(" missing cells detected. Highest-missing columns: "),
                  F.array_join(F.transform("w", lambda x: F.concat(x["column"], F.lit(" ("), (-x["m"]).cast("string"), F.lit("%)"))), ", "), F.lit(".")),
         0.88, F.transform("w", lambda x: F.struct(x["column"].alias("kpi"), (-x["m"]).alias("value"))),
-        "Missing cells reduce KPI reliability for affected segments.",
+        "Missing cells reduce KPI reliability for affected segments.", "missing",
     ))
     if named:
         parts.append(row(
             P.health_score_weighted(df, named), 3, F.lit("Data health score"),
             F.concat(F.lit("Overall data health score is "), F.col("health_score").cast("string"), F.lit("/100.")), 0.85,
-            _evidence([(F.lit("data_health.score"), F.col("health_score"))]), "Lower data health indicates greater effort required to trust KPIs.",
+            _evidence([(F.lit("data_health.score"), F.col("health_score"))]), "Lower data health indicates greater effort required to trust KPIs.", "health",
         ))
         board = G.numeric_leaderboard(df, named, 5)
         label = humanize_acronyms(F.col("column"))
@@ -238,19 +260,19 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
             board, 4, F.concat(F.lit("Top numeric contributor: "), label),
             F.format_string("%s totals %,.0f, contributing %.1f%% of combined numeric totals.", label, F.col("total"), F.col("share")), 0.8,
             _evidence([(F.col("column"), F.col("total"))]),
-            "High contribution indicates this metric drives totals and should be prioritized in drilling/forecasting.",
+            "High contribution indicates this metric drives totals and should be prioritized in drilling/forecasting.", about("contributor", label),
         ))
         parts.append(row(
             board.orderBy(F.desc("total"), F.asc("column")).limit(1), 9, F.concat(F.lit("Opportunity: focus on "), label),
             F.format_string("%s contributes the largest numeric total (%,.0f).", label, F.col("total")), 0.82,
-            _evidence([(F.col("column"), F.col("total"))]), "Targeting the top contributor can yield outsized revenue or efficiency gains.",
+            _evidence([(F.col("column"), F.col("total"))]), "Targeting the top contributor can yield outsized revenue or efficiency gains.", about("opportunity", label),
         ))
         extremes = A.zscore(df, named, 4.0, 10, strict=True).where("anomalies > 0")
         parts.append(row(
             extremes, 8, F.concat(F.lit("Anomalies in "), label),
             F.format_string("Detected %d high and %d low extreme values in %s.", F.col("high"), F.col("low"), label), 0.78,
             _evidence([(F.concat(F.lit("anomaly."), "column", F.lit(".high")), F.col("high")), (F.concat(F.lit("anomaly."), "column", F.lit(".low")), F.col("low"))]),
-            "Outliers can distort aggregated KPIs and forecasts.",
+            "Outliers can distort aggregated KPIs and forecasts.", "anomalies",
         ))
     exact = ["revenue", "total_amount", "amount", "sales", "total"]
     money = next((c for w in exact for c in numbers if c.lower() == w), None) or next(
@@ -261,7 +283,7 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
             G.segment_revenue_share(df, texts, money), 5, F.concat(F.lit("Concentration: "), label),
             F.format_string("%s represents %.1f%% of %s values. It also accounts for %.1f%% of revenue.", "top_value", "top_share", "column", "revenue_share"), 0.9,
             _evidence([(F.concat(F.lit("concentration."), "column", F.lit(".top_share")), F.col("top_share")), (F.concat(F.lit("revenue_share_of_"), "top_value"), F.col("revenue_share"))]),
-            "High concentration can indicate single points of failure or clear prioritization opportunities.",
+            "High concentration can indicate single points of failure or clear prioritization opportunities.", "concentration",
         ))
     trended = money or (named[0] if named else None)
     if time and trended:
@@ -269,7 +291,7 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
             TR.quarter_growth(df, time, trended), 6, F.lit(f"{trended.replace('_', ' ').capitalize()} growth"),
             F.concat(F.lit(f"{trended} has changed by "), F.col("growth_percent").cast("string"),
                      F.lit("% comparing the most recent 3-month period to the previous 3 months.")), 0.88,
-            _evidence([(F.lit(trended), F.col("growth_percent"))]), "Recent growth may indicate accelerating demand or seasonality that affects planning.",
+            _evidence([(F.lit(trended), F.col("growth_percent"))]), "Recent growth may indicate accelerating demand or seasonality that affects planning.", "growth",
         ))
     if len(numbers) >= 2:
         a, b = humanize_acronyms(F.col("col_a")), humanize_acronyms(F.col("col_b"))
@@ -277,13 +299,13 @@ def insight_battery(df: DataFrame, time: str | None = None, dataset_id: str = "t
             G.top_correlations(df, numbers, 5, 0.6), 7, F.concat(F.lit("Correlation: "), a, F.lit(" & "), b),
             F.format_string("%s is %s correlated with %s (r=%.2f).", a, F.when(F.col("corr") > 0, "positively").otherwise("negatively"), b, F.col("corr")), 0.8,
             _evidence([(F.concat_ws(".", F.lit("corr"), "col_a", "col_b"), F.abs(F.round("corr", 2)))]),
-            "Correlation suggests a relationship worth investigating for causal links.",
+            "Correlation suggests a relationship worth investigating for causal links.", "correlation",
         ))
     found = reduce(DataFrame.unionByName, parts)
     few = found.agg(F.count(F.lit(1)).alias("n")).where("n < 6")
     extra = row(
         few, 10, F.lit("Additional analysis recommended"),
         F.lit("Provide a larger dataset or include explicit business metrics (revenue, profit) to surface more prioritized business insights and trend forecasts."),
-        0.5, F.expr("cast(array() as array<struct<kpi:string,value:double>>)"),
+        0.5, F.expr("cast(array() as array<struct<kpi:string,value:double>>)"), None, "more_data",
     )
     return found.unionByName(extra)

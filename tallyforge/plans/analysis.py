@@ -104,7 +104,7 @@ def run_analysis(
     out.add("insights", lambda: _ranked(I.insight_battery(data, time, dataset_id)))
     if "insights" in out.sections:
         scored = I.score_insights(out.sections["insights"])
-        out.add("scored_insights", lambda: I.render_modes(scored))
+        out.add("scored_insights", lambda: I.localize_modes(I.render_modes(I.with_reasoning(scored))))
         out.add("recommendations", lambda: R.rank_recommendations(R.recommend_from_insights(out.sections["insights"])))
         out.add("action_plan", lambda: R.prioritized(out.sections["insights"]))
     return out
@@ -164,7 +164,7 @@ def _ordered(data: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]
 def _ranked(battery: DataFrame) -> DataFrame:
     """The battery of one table (some dozens of rows) with its rank."""
     rank = F.row_number().over(W.partitionBy("dataset_id").orderBy("section", "title"))
-    return battery.withColumn("rank", rank).withColumn("recommendation", F.lit(None).cast("string")).drop("section")
+    return battery.withColumn("rank", rank).drop("section")
 
 
 def section_sizes(spark: SparkSession, result: Analysis, names: tuple[str, ...] | None = None) -> DataFrame:

@@ -191,6 +191,29 @@ def ins4(spark, sf):
     return I.render_modes(Signals(spark, sf).insights).select("dataset_id", "rank", "mode_data", "mode_eli5")
 
 
+def _replaced(text: str, language: str) -> str:
+    """SQL that replaces the phrases of a language in a text."""
+    for phrase, other in L.PHRASES[language].items():
+        text = f"replace({text}, '{phrase}', '{other}')"
+    return text
+
+
+@query("ins4_localized_modes", sql("insights", f"""
+    , m AS (SELECT dataset_id, rank, observation || ' ' || impact || ' Recommended action: ' || CASE kind
+                   WHEN 0 THEN 'Monitor the top ' || pos || ' contributors separately and grow the long tail to reduce dependency.'
+                   WHEN 1 THEN 'Break reporting for ' || replace(title, ' concentration', '') || ' into leader versus long-tail segments.'
+                   WHEN 2 THEN 'Use median, percentiles, and segment-level views for ' || replace(title, ' skew', '') || '.'
+                   WHEN 3 THEN 'Inspect source rows for ' || replace(title, 'Anomaly in ', '') || ' before using this metric for decisions.'
+                   ELSE 'Review drivers behind ' || ekpi || ' movement before setting targets.' END AS business, 'Based on observed evidence: ' || ekpi || ': ' || evalue::DOUBLE AS reasoning,
+            observation || '. Evidence: ' || ekpi || '=' || evalue::DOUBLE AS data, trim(regexp_replace(string_split(observation, '.')[1], '[()]', '', 'g')) AS simple FROM insights)
+    SELECT dataset_id, rank, reasoning, {_replaced("business", "hi")} AS business_hi, {_replaced("business", "hinglish")} AS business_hinglish,
+           {_replaced("data", "hi")} AS data_hi, {_replaced("simple", "hinglish")} AS eli5_hinglish FROM m"""))
+def ins4_localized(spark, sf):
+    said = I.localize_modes(I.render_modes(I.with_reasoning(Signals(spark, sf).insights)))
+    return said.select("dataset_id", "rank", "reasoning", F.col("mode_business_hi").alias("business_hi"), F.col("mode_business_hinglish").alias("business_hinglish"),
+                       F.col("mode_data_hi").alias("data_hi"), F.col("mode_eli5_hinglish").alias("eli5_hinglish"))
+
+
 VIEWS["recs"] = (["insights"], """
     SELECT dataset_id, rank, CASE kind WHEN 0 THEN 'Concentration Risk: ' || ekpi WHEN 1 THEN 'Concentration Risk: ' || upper(left(ekpi, 1)) || substr(ekpi, 2)
                                        WHEN 2 THEN 'Action: ' || upper(left(pos, 1)) || substr(pos, 2) || ' Skew' WHEN 3 THEN 'Anomaly Investigation'

@@ -38,9 +38,22 @@ def src2(spark, sf):
     path = f"{scratch_folder(spark)}/part.json"
     packed = Tables(spark, sf).part.select(F.struct("p_partkey", "p_name", "p_size").alias("r"))
     chunks = packed.groupBy((F.col("r.p_partkey") / 1000).cast("long").alias("chunk")).agg(F.collect_list("r").alias("rows"))
-    chunks.select(F.to_json("rows").alias("value")).write.mode("overwrite").text(path)
-    # Each line holds one JSON array of at most 1000 records.
-    return spark.read.json(path).select("p_partkey", "p_name", "p_size")
+    # Each file holds one JSON array of at most 1000 records.
+    chunks.select("chunk", F.to_json("rows").alias("value")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
+    return R.read_json(spark, path).select("p_partkey", "p_name", "p_size")
+
+
+@query("src2_read_json_columns", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def src2_columns(spark, sf):
+    path = f"{scratch_folder(spark)}/part_columns.json"
+    names = ["p_partkey", "p_name", "p_size", "p_retailprice"]
+    chunks = Tables(spark, sf).part.groupBy((F.col("p_partkey") / 1000).cast("long").alias("chunk")).agg(F.collect_list(F.struct(*names)).alias("rows"))
+    lists = F.to_json(F.struct(*[F.col(f"rows.{c}").alias(c) for c in names]))
+    keys = F.transform("rows", lambda r: r["p_partkey"].cast("string"))
+    objects = F.to_json(F.struct(*[F.map_from_arrays(keys, F.col(f"rows.{c}")).alias(c) for c in names]))
+    # Files in turn hold an object of arrays and an object of objects keyed by row.
+    chunks.select("chunk", F.when(F.col("chunk") % 2 == 0, lists).otherwise(objects).alias("value")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
+    return R.read_json(spark, path).select(*names)
 
 
 def workbook(rows: list[list]) -> bytes:

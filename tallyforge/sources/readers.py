@@ -55,7 +55,19 @@ def count_bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records, one array or one object per file; a bare list of scalars becomes column ``value``."""
+    """JSON of one array or one object per file: records, or an object of columns; a bare list of scalars becomes column ``value``.
+
+    An object whose members are all objects or all arrays holds columns (``{"a": {"0": 1, "1": 2}}``, ``{"a": [1, 2]}``); see
+    ``columns_as_rows``. Any other object is one record. Files of both kinds under one path are refused.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    members = F.map_values(F.from_json(F.when(F.regexp("value", F.lit(r"^\s*\{")), F.col("value")), "map<string,string>"))
+    nested = (F.size(members) > 0) & F.forall(members, lambda m: F.coalesce(F.regexp(m, F.lit(r"^\s*[\[{]")), F.lit(False)))
+    kinds = whole.where(F.regexp("value", F.lit(r"\S"))).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.coalesce(nested, F.lit(False))).alias("by_columns")).first()
+    if kinds["by_columns"]:
+        if kinds["by_columns"] < kinds["files"]:
+            raise ValueError("Could not read dataset: files of records and files of columns under one path.")
+        return columns_as_rows(whole)
     df = spark.read.json(path, multiLine=True)
     if df.columns == [_CORRUPT]:
         whole = spark.read.text(path, wholetext=True)
@@ -63,6 +75,31 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(df)
 
 
+def columns_as_rows(files: DataFrame) -> DataFrame:
+    """Rows of ``file`` and ``value``, a JSON object of columns: values with an equal key (or place in an array) make one row.
+
+    Columns come in the order of their first place; a key that a column lacks is NULL there. A column is LONG, DOUBLE or BOOLEAN where all
+    its values are, else text. Values are spread by file and key, so only the text of one file is held in one task; the driver
+    gets one line per column.
+    """
+    members = F.map_entries(F.from_json("value", "map<string,string>"))
+    column = files.select("file", F.posexplode(members).alias("place", "member"))
+    text = F.col("member.value")
+    listed = F.transform(F.from_json(text, "array<string>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+    keyed = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    cells = column.select("file", "place", F.col("member.key").alias("name"), F.explode_outer(F.when(F.regexp(text, F.lit(r"^\s*\[")), listed).otherwise(keyed)).alias("cell")
+                          ).select("file", "place", "name", "cell.key", F.col("cell.value").alias("value"))
+    known = F.col("value").isNotNull()
+    kinds = {"bigint": r"^[+-]?[0-9]{1,18}$", "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
+    facts = cells.groupBy("name").agg(
+        F.min(F.struct("file", "place")).alias("at"), F.count_if(known).alias("n"),
+        *[F.count_if(known & F.regexp("value", F.lit(shape))).alias(kind) for kind, shape in kinds.items()]).orderBy("at", "name").collect()
+    types = {r["name"]: next((kind for kind in kinds if r["n"] and r[kind] == r["n"]), "string") for r in facts}
+    rows = cells.where(F.col("key").isNotNull()).groupBy("file", "key").agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).cast(kind).alias(name) for name, kind in types.items()])
+    return nan_to_null(rows.select(*[rows[f"`{name}`"] for name in types]))
+
+
 def read_excel_folder(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """First sheet of every .xlsx below ``path``; files are spread over tasks, all values are text.
 
