@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tallyforge.functions.lookups import FREE_PLAN_LIMITS, GRACE_DAYS, RATE_LIMIT, RATE_WINDOW_SECONDS
@@ -114,7 +115,8 @@ def rate_limit_exact(
 
     A pause longer than the window empties the queue, so a user's events fall into
     independent bursts. Bursts are spread over tasks, each task reads them in time
-    order batch by batch and keeps at most ``limit`` times in memory.
+    order batch by batch and keeps at most ``limit`` times in memory. Only bursts with
+    more than ``limit`` events in a window are walked event by event.
     """
     micros = events.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("_t"))
     order = ["_t", "event_id"]
@@ -128,13 +130,26 @@ def rate_limit_exact(
                            T.StructField("accepted", T.BooleanType())])
 
     def judge(batches):
-        current, accepted = None, deque()
+        current, queue = None, deque()
         for batch in batches:
-            verdicts = []
-            for user, burst, t in zip(batch["user_id"], batch["_burst"], batch["_t"]):
-                if (user, burst) != current:
-                    current, accepted = (user, burst), deque()
-                verdicts += admit([t], accepted, limit, reach)
+            if not len(batch):
+                continue
+            t, keys = batch["_t"].to_numpy(), batch[["user_id", "_burst"]]
+            fresh = (keys != keys.shift()).any(axis=1).to_numpy()
+            fresh[0] = True
+            group, starts = np.cumsum(fresh) - 1, np.append(np.flatnonzero(fresh), len(t))
+            goes_on = tuple(keys.iloc[0]) == current
+            # a burst in which no event has ``limit`` others before it within the window is accepted whole
+            crowded = np.unique(group[limit:][(group[limit:] == group[:-limit]) & (t[limit:] - t[:-limit] <= reach)]) if limit else np.arange(len(starts) - 1)
+            verdicts, last = np.ones(len(t), bool), len(starts) - 2
+            for g in sorted({*crowded.tolist(), *([0] if goes_on else [])}):
+                own = queue if g == 0 and goes_on else deque()
+                verdicts[starts[g]:starts[g + 1]] = admit(t[starts[g]:starts[g + 1]].tolist(), own, limit, reach)
+                if g == last:
+                    queue = own
+            if not (last in crowded or goes_on and last == 0):
+                queue = deque(t[max(starts[last], len(t) - limit):].tolist())
+            current = tuple(keys.iloc[-1])
             yield batch[["user_id", "event_id", "ts"]].assign(accepted=verdicts)
 
     return placed.select("user_id", "event_id", "ts", "_t", "_burst").mapInPandas(judge, schema)
