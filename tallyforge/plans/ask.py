@@ -6,7 +6,7 @@ The plan has four fields: intent, dimension, measure and n.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -16,9 +16,9 @@ from tallyforge.functions.semantics import col, numeric_columns, percent, text_c
 from tallyforge.functions.text import contains_any, format_value, humanize_name
 from tallyforge.operators import backbone as B, grouped as G, profile as P, trend as TR
 from tallyforge.operators.language import normalize_question, normalize_spoken
+from tallyforge.plans.answers import ANSWER, KEYS, answer_plans
 
 _ROLES = L.QUESTION_ROLES
-ANSWER = ["answer_type", "label", "value", "share", "text"]
 
 
 def _plain(name: str) -> str:
@@ -337,31 +337,20 @@ def ask(df: DataFrame, question: str) -> DataFrame:
     return answer_plan(df, plan["intent"], plan["dimension"], plan["measure"], plan["n"])
 
 
-def ask_many(df: DataFrame, questions: DataFrame, max_plans: int = 500) -> DataFrame:
-    """Answer a table of questions; each distinct plan is computed once and joined back.
+def ask_many(df: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answer a table of questions: all distinct plans are computed together from shared aggregations and joined back.
 
-    The number of distinct plans is bounded by the header (intents x columns x 25), not
-    by the number of questions; more than ``max_plans`` of them is refused, not cut.
+    Answers are at most 25 rows a plan; they are broadcast up to 100 000 rows and joined by shuffle beyond that.
     """
     planned = plan_questions(df, questions)
-    keys = ["intent", "dimension", "measure", "n"]
-    plans = planned.select(*keys).distinct().limit(max_plans + 1).collect()
-    if len(plans) > max_plans:
-        raise ValueError(f"the questions need more than {max_plans} different aggregations; raise max_plans or split them")
-    if not plans:
-        return planned.select(*questions.columns, "intent", *[F.lit(None).cast("string").alias(a) for a in ANSWER])
-    # An answer has at most 25 rows, so all answers together are bounded like the plans.
-    rows = [
-        (*[p[k] for k in keys], *row)
-        for p in plans
-        for row in answer_plan(df, p["intent"], p["dimension"], p["measure"], p["n"]).select(*ANSWER).collect()
-    ]
-    answers = df.sparkSession.createDataFrame(
-        rows, "_intent string, _dimension string, _measure string, _n int, "
-              "answer_type string, label string, value double, share double, text string",
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return planned.join(F.broadcast(answers), same).select(*questions.columns, "intent", *ANSWER)
+    times = Router(df).times
+    whole = {k: partial(answer_plan, df, k, None, None) for k in ("rows", "columns", "quality", "unknown")}
+    answers = answer_plans(df, planned, times[0] if times else None, whole)
+    if answers.count() <= 100_000:
+        answers = F.broadcast(answers)
+    renamed = answers.withColumnsRenamed({k: f"_{k}" for k in KEYS})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+    return planned.join(renamed, same).select(*questions.columns, "intent", *ANSWER)
 
 
 def conversation_context(

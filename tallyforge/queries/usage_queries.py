@@ -116,13 +116,16 @@ def qa3(spark, sf):
     return ASK.resolve_columns(t.sales, questions(t)).where("unknown_field").select("conv_id", "turn")
 
 
-@query("qa_plan_questions", sql("intents", """
+VIEWS["plans"] = (["intents"], """
     SELECT conv_id, turn, CASE WHEN rule LIKE 'count %' THEN 'unique_count' ELSE rule END AS intent,
            CASE rule WHEN 'count product' THEN 'product_name' WHEN 'count customer' THEN 'customer_name' WHEN 'count order' THEN 'order_id'
                 WHEN 'top_n' THEN coalesce(named, dimension) WHEN 'top_count' THEN coalesce(named, dimension) WHEN 'leader' THEN coalesce(named, dimension)
                 WHEN 'why_change' THEN dimension WHEN 'weakest' THEN dimension WHEN 'most_common' THEN dimension WHEN 'advice' THEN dimension END AS dimension,
            CASE WHEN rule IN ('why_change', 'weakest', 'top_n', 'leader', 'highest_value', 'average', 'outliers', 'advice') THEN measure END AS measure,
-           CASE WHEN rule IN ('top_n', 'top_count') THEN n ELSE 1 END::INT AS n FROM intents"""))
+           CASE WHEN rule IN ('top_n', 'top_count') THEN n ELSE 1 END::INT AS n FROM intents""")
+
+
+@query("qa_plan_questions", sql("plans", "SELECT conv_id, turn, intent, dimension, measure, n FROM plans"))
 def qa_plan(spark, sf):
     t = Tables(spark, sf)
     return ASK.plan_questions(t.sales, questions(t)).drop("question")
@@ -201,12 +204,49 @@ def qa14(spark, sf):
     return ASK.describe_column(s, "category").unionByName(ASK.describe_column(s, "quantity")).select("text")
 
 
-@query("qa_ask_many", sql("phrases sales", f"""
-    , a AS ({" UNION ALL ".join(f"SELECT '{i}' AS intent, * FROM ({b})" for i, b in _BODIES.items())})
-    SELECT conv_id, turn, intent, label, value, share FROM (SELECT *, {_list(p[1] for p in PHRASES)}{_PICK} AS intent FROM phrases) JOIN a USING (intent)"""))
+_SEGMENTS, _MEASURES = ["customer_name", "product_name", "category", "region"], ["order_id", "quantity", "revenue", "discount", "cost"]
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{d}' AS d, {d}::VARCHAR AS label, {m} AS m, {amount}::DOUBLE AS amount FROM sales GROUP BY {d}"
+    for d in [*_SEGMENTS, "order_id"] for m, amount in [("NULL::VARCHAR", "count(*)"), *((f"'{x}'", f"sum({x})") for x in _MEASURES)])
+_NUMBERS = " UNION ALL ".join(
+    f"""SELECT '{m}' AS m, max({m})::DOUBLE AS top, avg({m})::DOUBLE AS mean, median({m})::DOUBLE AS mid,
+        (SELECT count(*) FROM sales, (SELECT quantile_cont({m}::DOUBLE, 0.25) AS a, quantile_cont({m}::DOUBLE, 0.75) AS b FROM sales)
+         WHERE a < b AND ({m} < a - 1.5e0 * (b - a) OR {m} > b + 1.5e0 * (b - a))) AS far FROM sales""" for m in _MEASURES)
+_SIDES = " UNION ALL ".join(
+    f"""SELECT '{m}' AS m, {f"'{d}'" if d else "NULL::VARCHAR"} AS d, {d or "NULL::VARCHAR"} AS label, coalesce(sum({m}) FILTER (WHERE NOT late), 0)::DOUBLE AS p,
+        coalesce(sum({m}) FILTER (WHERE late), 0)::DOUBLE AS r FROM h{f" GROUP BY {d}" if d else ""}""" for d in ["", *_SEGMENTS] for m in _MEASURES)
+
+
+@query("qa_ask_many", sql("plans sales", f"""
+    , cells AS ({_CELLS}), numbers AS ({_NUMBERS}), n AS (SELECT count(*) AS lines FROM sales)
+    , totals AS (SELECT d, m, sum(amount) AS total, count(*) AS labels FROM cells GROUP BY d, m)
+    , placed AS (SELECT *, row_number() OVER (PARTITION BY d, m ORDER BY amount DESC, label) AS place, row_number() OVER (PARTITION BY d, m ORDER BY amount, label) AS low,
+                 row_number() OVER (PARTITION BY d, m ORDER BY round(amount, 2) DESC, label) AS first FROM cells)
+    , h AS (SELECT *, epoch_us(order_date) > (SELECT median(epoch_us(order_date)) FROM sales) AS late FROM sales), sides AS ({_SIDES})
+    , driver AS (SELECT m, d, CASE WHEN sum(r - p) < 0 THEN arg_min(label, struct_pack(x := r - p, l := label)) ELSE arg_min(label, struct_pack(x := p - r, l := label)) END AS label
+                 FROM sides WHERE d IS NOT NULL GROUP BY m, d)
+    , wanted AS (SELECT DISTINCT intent, dimension, measure, n FROM plans)
+    , grouped AS (SELECT intent, dimension, measure, wanted.n, place, low, first, label, amount, total, placed.m, lines FROM wanted, placed, totals, n
+                  WHERE placed.d = dimension AND totals.d = placed.d AND totals.m IS NOT DISTINCT FROM placed.m
+                    AND placed.m IS NOT DISTINCT FROM CASE WHEN intent IN ('top_count', 'most_common') THEN NULL ELSE measure END)
+    , a AS (
+        SELECT intent, dimension, measure, wanted.n, dimension AS label, labels::DOUBLE AS value, NULL::DOUBLE AS share FROM wanted JOIN totals ON d = dimension AND m IS NULL WHERE intent = 'unique_count'
+        UNION ALL SELECT intent, dimension, measure, n, label, round(amount, 2), round(amount / total * 100, 1) FROM grouped WHERE intent = 'weakest' AND low = 1
+        UNION ALL SELECT intent, dimension, measure, n, label, round(amount, 2), round(round(amount / total * 100, 2), 1) FROM grouped WHERE intent IN ('leader', 'advice') AND first = 1
+        UNION ALL SELECT intent, dimension, measure, n, label, round(amount, 2), round(amount / sum(amount) OVER (PARTITION BY dimension, measure, n) * 100, 1) FROM grouped WHERE intent = 'top_n' AND place <= n
+        UNION ALL SELECT intent, dimension, measure, n, label, amount, round(amount * 100e0 / lines, 1) FROM grouped WHERE intent IN ('top_count', 'most_common') AND place <= n
+        UNION ALL SELECT intent, dimension, measure, n, measure, CASE intent WHEN 'highest_value' THEN top WHEN 'average' THEN round(mean, 2) ELSE far END,
+                  CASE intent WHEN 'average' THEN round(mid, 2) WHEN 'outliers' THEN round(far * 100e0 / (SELECT lines FROM n), 1) END
+                  FROM wanted JOIN numbers ON m = measure WHERE intent IN ('highest_value', 'average', 'outliers')
+        UNION ALL SELECT intent, dimension, measure, wanted.n, driver.label, round((r - p) / abs(p) * 100, 1), NULL FROM wanted JOIN sides ON sides.m = measure AND sides.d IS NULL
+                  JOIN driver ON driver.m = measure AND driver.d = dimension WHERE intent = 'why_change'
+        UNION ALL SELECT intent, NULL, NULL, 1, label, value, share FROM (SELECT DISTINCT intent FROM wanted) JOIN (
+            {" UNION ALL ".join(f"SELECT * FROM ({_BODIES[k]})" for k in ("rows", "columns", "quality", "unknown"))}) ON answer_type = intent)
+    SELECT conv_id, turn, plans.intent, label, value, share FROM plans JOIN a ON plans.intent = a.intent AND plans.dimension IS NOT DISTINCT FROM a.dimension
+           AND plans.measure IS NOT DISTINCT FROM a.measure AND plans.n = a.n"""))
 def qa_many(spark, sf):
     t = Tables(spark, sf)
-    return ASK.ask_many(t.sales, phrases(t).select("conv_id", "turn", F.col("phrase").alias("question"))).select("conv_id", "turn", "intent", "label", "value", "share")
+    return ASK.ask_many(t.sales, questions(t)).select("conv_id", "turn", "intent", "label", "value", "share")
 
 
 @query("qa15_conversation_context", sql("questions", """
