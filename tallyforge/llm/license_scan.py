@@ -2,9 +2,9 @@
 
 Every paragraph (line; long ones in overlapping windows) becomes the set of its words and word pairs. A multinomial
 logistic regression over hashed sparse n-grams tells licence families from each other and from ``unknown``; it is trained on varied copies of
-short notices (``NOTICES``) and, as unknown, on a bounded sample of the corpus's own paragraphs. A second bounded sample calibrates
-the unknown class: the probability that a family must reach is the one that all but ``tail`` of ordinary paragraphs stay
-below. A prediction counts only if the paragraph also shares enough n-grams with a notice of the family.
+short notices (``NOTICES``) and, as unknown, on a bounded sample of the corpus's own paragraphs. All paragraphs that are scanned calibrate
+the unknown class: the probability that a family must reach is the one that at most ``tail`` of them reach as ordinary text. A prediction counts only if
+the paragraph also shares enough n-grams with a notice of the family.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyforge.session import staged_table
+
 DIM = 1 << 13
 UNKNOWN = "unknown"
 # Notices by which the licence families are known, as their public texts have them.
@@ -89,6 +91,7 @@ NOTICES: dict[str, list[str]] = {
     ],
 }
 FAMILIES = [*sorted(NOTICES), UNKNOWN]
+FLOOR, CEILING = 0.3, 0.95  # the probability that a family must reach lies between them
 
 
 def words_of(text: Column) -> Column:
@@ -103,12 +106,12 @@ def grams_of(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, keys: list[str], width: int = 64, step: int = 48) -> DataFrame:
-    """``keys`` and ``words`` of every line with words of every text; a line of more than ``width`` words in windows that begin ``step`` apart."""
-    lines = docs.select(*keys, F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\R")).alias("line"))
-    w = lines.select(*keys, words_of(F.col("line")).alias("all")).where(F.size("all") > 0)
+    """``keys``, ``line``, ``window`` and ``words`` of every line with words of every text; a line of more than ``width`` words in windows that begin ``step`` apart."""
+    lines = docs.select(*keys, F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\R")).alias("line", "__line"))
+    w = lines.select(*keys, "line", words_of(F.col("__line")).alias("all")).where(F.size("all") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - width) / step)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(F.col("all"), k * step + 1, width))
-    return w.select(*keys, F.explode(F.when(F.size("all") <= width, F.array("all")).otherwise(cut)).alias("words"))
+    return w.select(*keys, "line", F.posexplode(F.when(F.size("all") <= width, F.array("all")).otherwise(cut)).alias("window", "words"))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -124,10 +127,9 @@ def _shared(grams: Column, notice: Column) -> Column:
 
 @dataclass
 class Model:
-    """The regression, and the probability that a family must reach."""
+    """The regression. The probability that a family must reach follows from the paragraphs that are scanned (``threshold``)."""
 
     regression: LogisticRegressionModel
-    least: float
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``words``) and grams, family (the likeliest one, never unknown) and its probability."""
@@ -138,41 +140,64 @@ class Model:
         names = F.array(*[F.lit(f) for f in FAMILIES[:-1]])
         return scored.withColumn("p", best).withColumn("family", F.element_at(names, F.array_position(known, best).cast("int"))).drop("__p", "__features", "probability", "rawPrediction", "prediction")
 
-    def confirmed(self, rows: DataFrame, overlap: float = 0.6) -> DataFrame:
-        """Paragraphs whose family is likely enough and that share ``overlap`` of the n-grams with one of its notices; ``overlap`` column added.
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """Paragraphs of probability ``FLOOR`` or more, without their words: overlap (the largest share of n-grams with a notice of the family) and plain.
 
         The notices are one row per family, joined by broadcast: their number is fixed by ``NOTICES``.
         """
         texts = _notices(rows.sparkSession).groupBy("family").agg(F.collect_list(grams_of(F.col("words"))).alias("notices"))
-        likely = self.probabilities(rows).where(F.col("p") >= self.least)
+        likely = self.probabilities(rows).where(F.col("p") >= FLOOR)
         near = likely.join(F.broadcast(texts), "family").withColumn("overlap", F.array_max(F.transform("notices", lambda n: _shared(F.col("grams"), n))))
-        return near.where(F.col("overlap") >= overlap).drop("notices")
+        return near.withColumn("plain", _is_plain()).drop("notices", "words", "grams")
+
+
+def _is_plain() -> Column:
+    """Whether ``words`` share so few word pairs with all notices that they count as ordinary text."""
+    listed = F.array(*[F.lit(g) for g in sorted({g for texts in NOTICES.values() for t in texts for g in _plain_grams(t) if " " in g})])
+    met = F.size(F.array_intersect(grams_of(F.col("words")), listed))
+    return (met < 3) & ((met == 0) | (2 * met < F.size("words") - 1))
+
+
+def threshold(candidates: DataFrame, total: int, tail: float = 0.001) -> float:
+    """The smallest probability in steps of 1 / 10 000, from ``FLOOR`` to ``CEILING``, that at most ``tail`` of all ``total`` paragraphs reach although they are plain.
+
+    All candidates are counted by step, so the driver gets at most 7000 counts.
+    """
+    step = F.floor(F.least(F.col("p"), F.lit(CEILING)) * 10_000).cast("int")
+    counts = dict(candidates.where("plain").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
+    above, least = 0, round(CEILING * 10_000)
+    for at in range(least, round(FLOOR * 10_000) - 1, -1):
+        above += counts.get(at, 0)
+        if above > tail * total:
+            break
+        least = at
+    return least / 10_000
 
 
-def fit(docs: DataFrame, sample: int = 2000, variants: int = 48, tail: float = 0.001) -> Model:
-    """Train on the notices and on paragraphs of at most ``sample`` documents (smallest hashes of id), calibrate on as many others."""
+def fit(docs: DataFrame, sample: int = 2000, variants: int = 48) -> Model:
+    """Train on the notices and on plain paragraphs of at most ``sample`` different documents (those of the smallest hashes).
+
+    The bound of the hashes is found on hashes alone, so tasks send no texts but those of the sample.
+    """
     spark = docs.sparkSession
-    picked = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(2 * sample).withColumn("half", F.pmod(F.xxhash64("h"), F.lit(2)))
-    own = paragraphs(picked, ["half"]).withColumn("part", F.xxhash64("words"))
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    bound = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = hashed.where(F.col("h") <= bound if bound is not None else F.lit(False)).dropDuplicates(["h"])
+    own = paragraphs(picked, []).select("words", F.xxhash64("words").alias("part"))
     notices = _notices(spark)
     every = F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), lambda v: F.filter(
         "words", lambda w, i: (v == 0) | (F.pmod(F.xxhash64(w, i, v), F.lit(100)) >= 20)))
     known = notices.select("label", F.explode(every).alias("words")).where(F.size("words") > 1)
     # paragraphs that share several word pairs with the notices do not teach the unknown class
-    listed = F.array(*[F.lit(g) for g in sorted({g for texts in NOTICES.values() for t in texts for g in _plain_grams(t) if " " in g})])
-    met = F.size(F.array_intersect(grams_of(F.col("words")), listed))
-    plain = own.distinct().orderBy("part").limit(4 * sample).where((met < 3) & ((met == 0) | (2 * met < F.size("words") - 1)))
+    plain = own.distinct().orderBy("part").limit(2 * sample).where(_is_plain())
     plain = plain.repartition(4, "part").persist()
     try:
-        unknown = plain.where("half = 0").select(F.lit(float(len(FAMILIES) - 1)).alias("label"), "words")
+        unknown = plain.select(F.lit(float(len(FAMILIES) - 1)).alias("label"), "words")
         rows = known.unionByName(unknown).withColumn("grams", grams_of(F.col("words")))
         hashed = HashingTF(inputCol="grams", outputCol="__features", numFeatures=DIM, binary=True).transform(rows)
         regression = LogisticRegression(featuresCol="__features", labelCol="label", family="multinomial", maxIter=80, regParam=1e-5).fit(
             hashed.unionByName(_anchor(spark, hashed)).coalesce(4))
-        model = Model(regression, 0.0)
-        high = model.probabilities(plain.where("half = 1")).agg(F.percentile("p", 1 - tail)).first()[0]
-        model.least = min(0.95, max(0.3, high or 0.0))
-        return model
+        return Model(regression)
     finally:
         plain.unpersist()
 
@@ -189,22 +214,27 @@ def _anchor(spark: SparkSession, like: DataFrame) -> DataFrame:
     return HashingTF(inputCol="grams", outputCol="__features", numFeatures=DIM, binary=True).transform(empty).select(like.columns)
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
+def scan(docs: DataFrame, model: Model, tail: float = 0.001, overlap: float = 0.6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_paragraphs, n_license, families, family, score, overlap.
 
-    n_paragraphs counts lines (or windows of long lines) with words, n_license those of a confirmed family; families are the distinct ones, sorted, joined by commas; family,
+    n_paragraphs counts lines (or windows of long lines) with words, n_license those of a confirmed family: likely enough (``threshold`` over all
+    paragraphs of ``docs``) and sharing ``overlap`` of the n-grams with one of its notices. families are the distinct ones, sorted, joined by commas; family,
     score and overlap are those of the likeliest paragraph (ties: the first family by name), null where there is none. Null and empty texts have no
-    paragraphs; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
+    paragraphs; repeated rows each get their row; an empty table gives no rows; other columns are ignored. Rows are known by 128 bits of hash of id and text,
+    so a task that is run again finds the same rows; what is found is written once, in the shared folder.
     """
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
-    cut = rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    parts = paragraphs(cut, ["__row", "doc_id"])
-    found = model.confirmed(parts).groupBy("__row").agg(
-        F.count(F.lit(1)).alias("n_license"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
-        F.min(F.struct((-F.col("p")).alias("minus"), "family", "overlap")).alias("best"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("__a"), F.xxhash64(text, "doc_id", F.lit(1)).alias("__b"))
+    likely = staged_table(model.candidates(paragraphs(keyed, ["__a", "__b"])))
     lines = F.filter(F.transform(F.split("text", r"\R"), lambda x: F.size(words_of(x))), lambda n: n > 0)
     windows = F.aggregate(F.transform(lines, lambda n: F.when(n <= 64, 1).otherwise(F.ceil((n - 64) / 48) + 1).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    counted = cut.select("__row", "doc_id", windows.alias("n_paragraphs"))
-    return counted.join(found, "__row", "left").select(
+    counted = staged_table(keyed.select("doc_id", "__a", "__b", windows.alias("n_paragraphs")))
+    least = threshold(likely, counted.agg(F.sum("n_paragraphs")).first()[0] or 0, tail)
+    sure = likely.where((F.col("p") >= least) & (F.col("overlap") >= overlap))
+    # equal rows have equal paragraphs, which count once
+    found = sure.dropDuplicates(["__a", "__b", "line", "window"]).groupBy("__a", "__b").agg(
+        F.count(F.lit(1)).alias("n_license"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.min(F.struct((-F.col("p")).alias("minus"), "family", "overlap")).alias("best"))
+    return counted.join(found, ["__a", "__b"], "left").select(
         "doc_id", "n_paragraphs", F.coalesce("n_license", F.lit(0)).alias("n_license"), F.coalesce("families", F.lit("")).alias("families"),
         F.col("best.family").alias("family"), (-F.col("best.minus")).alias("score"), F.col("best.overlap").alias("overlap"))

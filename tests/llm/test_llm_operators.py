@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -297,6 +298,30 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0), model).count() == 0
 
 
+def test_licence_threshold_equals_a_search_over_all_paragraphs(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([0.3, 0.31, 0.5, 0.94999, 0.95, 0.99, 1.0, round(0.3 + 0.7 * rng.random(), 4)]), rng.random() < 0.6) for _ in range(300)]
+    table = spark.createDataFrame(rows, "p double, plain boolean")
+    for total, tail in ((1000, 0.001), (1000, 0.05), (5000, 0.03), (300, 1.0), (0, 0.001)):
+        steps = [k / 10_000 for k in range(3000, 9501)]
+        fits = [t for t in steps if sum(plain and p >= t for p, plain in rows) <= tail * total]
+        assert license_scan.threshold(table, total, tail) == (fits[0] if fits else 0.95)
+    assert license_scan.threshold(table.limit(0), 10) == 0.3
+
+
+def test_planted_notices_are_found(spark):
+    """Every notice, whole, inside a longer line and with a year put in; prose beside it stays unmarked."""
+    planted = [(family, text) for family, texts in sorted(license_scan.NOTICES.items()) for text in texts]
+    rows = [(k, f"{prose(k, 60)}\n{text}\n{prose(k + 900, 60)}") for k, (_, text) in enumerate(planted)]
+    rows += [(1000 + k, f"{text} 2019\n{prose(k, 30)}") for k, (_, text) in enumerate(planted)] + [(5000 + k, prose(k, 90)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs, license_scan.fit(docs, sample=200)).collect()}
+    hits = [got[k + base].n_license > 0 for k in range(len(planted)) for base in (0, 1000)]
+    right = [planted[k][0] in got[k + base].families.split(",") for k in range(len(planted)) for base in (0, 1000)]
+    assert np.mean(hits) >= 0.95 and np.mean(right) >= 0.9
+    assert not any(got[5000 + k].n_license for k in range(100))
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(8)
     rows = [(k, prose(k, int(rng.integers(1, 60)) * (40 if k % 97 == 0 else 1)), "en", None if k % 6 == 5 else f"s{min(k % 9, 3)}", 1) for k in range(900)]
