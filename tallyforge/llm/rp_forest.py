@@ -4,16 +4,20 @@
 2. ``trees`` coarse trees are grown on a bounded sample (``sample`` vectors): a node splits at the median of the projections on a
    random direction. Every class goes down each tree; where its projection is within ``spill`` of the median it goes
    both ways, so close vectors on either side of a cut still meet.
-3. The vectors of a coarse leaf meet in one task, which goes on splitting in the same way down to ``leaf`` vectors and
-   compares all vectors of a leaf in double precision. Where splitting does not part them (a dense spot) they are compared
-   directly, in row blocks. A coarse leaf above ``group`` vectors is compared in pairs of blocks, which is exact.
-   Links found are reduced to a spanning forest per task, so rows stay linear.
-4. Links of all trees are united; in every component all pairs are verified again, in blocks, which gives the exact
+3. A coarse leaf above ``group`` vectors is split again, in rounds over all such leaves at once: three directions of its own, cuts at the
+   medians that its own vectors have there, spill as before. A leaf that does not part (a dense spot) stays and is compared in pairs of blocks,
+   which is exact. So the forest is as deep as the table needs, whatever the sample.
+4. The vectors of a leaf meet in one task, which goes on splitting in the same way down to ``leaf`` vectors and
+   compares all vectors of a leaf in double precision. Where splitting does not part them they are compared
+   directly, in row blocks. Links found are reduced to a spanning forest per task, so rows stay linear.
+5. Links of all trees are united; in every component all pairs are verified again, in blocks, which gives the exact
    number of links inside it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -107,6 +111,45 @@ def _unit(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True) if len(flat) else flat
 
 
+def _bounded_leaves(entries: DataFrame, width: int, margin: float, group: int, seed: int) -> DataFrame:
+    """``entries`` (leaf, rep, dim, x) with ``members``: leaves above ``group`` are split until they fit or do not part; leaves of one vector are left out.
+
+    A split has eight children. It counts where the largest child holds at most half of the leaf, so the number of rounds is logarithmic;
+    otherwise the leaf stays whole.
+    """
+    done, going, ways = [], entries, 3
+
+    def project(batches):
+        for batch in batches:
+            x, leaves = _unit(batch, "x", width), batch.column("leaf").to_numpy()
+            p = np.zeros((len(x), ways))
+            for one in np.unique(leaves):
+                at = leaves == one
+                way = np.random.default_rng([seed, int(one)]).standard_normal((width, ways))
+                p[at] = x[at] @ (way / np.linalg.norm(way, axis=0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, k]) for k in range(ways)]], [*batch.schema.names, *[f"p{k}" for k in range(ways)]])
+
+    while True:
+        counts = checkpoint_frame(going.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+        large = counts.where(F.col("members") > group)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, done, going.join(counts, "leaf"))
+        done.append(going.join(counts.where(F.col("members") <= group), "leaf"))
+        cast = going.join(large, "leaf").select("leaf", "rep", "dim", "x", "members").mapInArrow(
+            project, "leaf long, rep long, dim int, x binary, members long, " + ", ".join(f"p{k} double" for k in range(ways)))
+        cuts = cast.groupBy("leaf").agg(*[F.percentile_approx(f"p{k}", 0.5, 1000).alias(f"cut{k}") for k in range(ways)])
+        below = [F.col(f"p{k}") < F.col(f"cut{k}") + margin for k in range(ways)]
+        above = [F.col(f"p{k}") >= F.col(f"cut{k}") - margin for k in range(ways)]
+        reached = [F.when(reduce(lambda a, b: a & b, [above[k] if code >> k & 1 else below[k] for k in range(ways)]), F.lit(code)) for code in range(1 << ways)]
+        coded = checkpoint_frame(cast.join(cuts, "leaf").select("leaf", "rep", "dim", "x", "members", F.array_compact(F.array(*reached)).alias("codes")))
+        children = coded.select("leaf", "members", F.explode("codes").alias("code")).groupBy("leaf", "members", "code").agg(F.count(F.lit(1)).alias("n"))
+        parted = children.groupBy("leaf", "members").agg((2 * F.max("n") <= F.col("members")).alias("parted")).where("parted").select("leaf")
+        parted = checkpoint_frame(parted)
+        done.append(coded.drop("codes").join(parted, "leaf", "left_anti"))
+        going = checkpoint_frame(coded.join(parted, "leaf").select("leaf", "rep", "dim", "x", F.explode("codes").alias("code")).select(
+            F.shiftrightunsigned(F.xxhash64("leaf", "code"), 1).alias("leaf"), "rep", "dim", "x"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = 8, spill: float = 0.2, leaf: int = 512, group: int = 8192,
                  coarse: int = 2048, sample: int = 8192, seed: int = 11) -> DataFrame:
     """One row per distinct (vec_id, embedding): vec_id, n_links, component_id, kept.
@@ -157,8 +200,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = 8, spi
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t * (1 << 32) + place, np.int64)), *take.columns], ["leaf", "rep", "dim", "x"])
 
     entries = checkpoint_frame(classes.mapInArrow(route, "leaf long, rep long, dim int, x binary"))
-    counts = entries.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = in_blocks(entries.join(counts, "leaf"), "leaf", F.when(F.col("members") > group, F.ceil(F.col("members") / (group / 2))).otherwise(F.lit(1)), "rep").drop("members")
+    met = in_blocks(_bounded_leaves(entries, width, margin, group, seed), "leaf", F.when(F.col("members") > group, F.ceil(F.col("members") / (group / 2))).otherwise(F.lit(1)), "rep").drop("members")
 
     def compare(batches):
         for tab, bounds in whole_runs(batches, ["leaf", "lo", "hi"]):

@@ -108,6 +108,26 @@ def test_forest_equals_brute_force(spark):
     assert rp_forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_large_leaves_split_again(spark):
+    """A sample of eight vectors grows no tree; the one leaf is split by its own vectors, and a dense spot is compared whole."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([np.repeat(rng.standard_normal((120, 24)), 4, axis=0) + 0.12 * rng.standard_normal((480, 24)),
+                   rng.standard_normal(24) * 3 + 0.001 * rng.standard_normal((150, 24))])
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    entries = spark.createDataFrame([(5, k, 24, r.astype("<f8").tobytes()) for k, r in enumerate(m)], "leaf long, rep long, dim int, x binary")
+    leaves = defaultdict(set)
+    for r in rp_forest._bounded_leaves(entries, 24, 0.2 / 24**0.5, 64, 3).collect():
+        leaves[r.leaf].add(r.rep)
+        assert r.members > 1
+    dense = set(range(480, 630))
+    assert all(len(own) <= 64 or len(own & dense) > len(own) / 2 for own in leaves.values()) and any(dense <= own for own in leaves.values())
+    got = {r.vec_id: r.n_links for r in rp_forest.near_vectors(table, leaf=16, group=64, sample=8).collect()}
+    assert all(got[k] == 149 for k in dense) and np.mean([got[k] == n for k, n in enumerate(near.sum(1))]) >= 0.98
+
+
 def test_forest_takes_vectors_of_any_size(spark):
     rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [5e-324, 0.0]), (6, [1e308, 0.0]), (7, [0.0, -1e308])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
