@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyforge.functions.text import format_value, humanize, numeric_from_text, timestamp_from_text
 from tallyforge.operators import backbone as B, clean as C, normalize as N, profile as P
 from tallyforge.queries.base import Tables, query, scratch_folder, sql
+from tallyforge.session import staged_table
 from tallyforge.sources import fingerprint as FP, readers as R, writers as Wr
 
 NUMBERS = ["quantity", "revenue", "discount", "cost"]
@@ -510,7 +511,8 @@ _CAPS = _CUBE + """
 
 def _cubes(spark, sf) -> DataFrame:
     r = F.col("revenue")
-    return Tables(spark, sf).sales.select("order_id", (r * r * r / 1e9).alias("cube"), "quantity")
+    # written once: bounds, counts and the result each read it
+    return staged_table(Tables(spark, sf).sales.select("order_id", (r * r * r / 1e9).alias("cube"), "quantity"))
 
 
 @query("cln3_cap_outliers", sql("sales", _CAPS + """
