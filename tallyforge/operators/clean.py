@@ -8,7 +8,7 @@ from tallyforge.functions.lookups import DATE_NAME_HINTS
 from tallyforge.functions.semantics import TIME_TYPES, any_of, col, numeric_columns, text_columns
 from tallyforge.functions.text import CURRENCY_MARKS
 from tallyforge.operators import backbone as B, normalize as N, profile as P
-from tallyforge.session import checkpoint_frame
+from tallyforge.session import staged_table
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -16,6 +16,12 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written once by columns; a column without a type stays one."""
+    table = staged_table(df)
+    return table.withColumns({c: F.lit(None) for c, kind in df.dtypes if kind == "void"})
+
+
 def fill_values(df: DataFrame) -> dict:
     """Column -> fill value: median of numbers, smallest mode of the rest.
 
@@ -114,7 +120,7 @@ def clean_dataset(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Names, text, numbers, dates, duplicates, missing values, outliers - in that order.
 
     Returns the cleaned frame and a one-row report. The de-duplicated frame is
-    read by four jobs, so it is checkpointed once.
+    read by many jobs, so it is written once, by columns.
     """
     spark = df.sparkSession
     before = _facts(df)
@@ -122,7 +128,7 @@ def clean_dataset(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = text_columns(work)
     ratios = N.parse_ratios(work).collect() if texts else []
     types = N.decide_types(ratios, 0.8, 0.6, DATE_NAME_HINTS)
-    work = checkpoint_frame(drop_duplicates(N.apply_types(work, types)))
+    work = _written(drop_duplicates(N.apply_types(work, types)))
     missing = P.missing_summary(work).first()["missing_cells"]
     filled = fill_missing(work)
     capped, outliers = cap_outliers(filled)
@@ -148,7 +154,7 @@ def clean_for_download(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = text_columns(work)
     ratios = N.parse_ratios(work, ",₹").collect() if texts else []
     types = N.decide_types(ratios, 0.8, 0.8)
-    work = checkpoint_frame(drop_duplicates(N.apply_types(work, types, ",₹")))
+    work = _written(drop_duplicates(N.apply_types(work, types, ",₹")))
     kept, _ = remove_outliers(work)
     filled = fill_missing(kept)
     rows_unique = work.count()
