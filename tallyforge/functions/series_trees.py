@@ -21,21 +21,40 @@ def drawn_positions(n: int, tree: int) -> np.ndarray:
     return (r * r + draw) % PRIME % n
 
 
+def nearest_drawn(n: int, tree: int) -> np.ndarray:
+    """For each of n positions the nearest one that the tree has drawn (the smaller one on ties)."""
+    at, drawn = np.arange(n), np.zeros(n, bool)
+    drawn[drawn_positions(n, tree)] = True
+    below = np.maximum.accumulate(np.where(drawn, at, -1))
+    above = np.minimum.accumulate(np.where(drawn, at, 2 * n)[::-1])[::-1]
+    return np.where((below >= 0) & ((at - below <= above - at) | (above >= n)), below, above)
+
+
+def forests(series: list[np.ndarray], trees: int) -> list[tuple[float, float]]:
+    """(forecast beyond the last position, in-sample R2 held to 0..1) of a bootstrap forest over the positions of every series.
+
+    The draws follow from the length alone, so series of one length are answered together by each tree.
+    """
+    out: list[tuple[float, float]] = [(0.0, 0.0)] * len(series)
+    lengths = np.array([len(y) for y in series])
+    for n in np.unique(lengths):
+        members = np.flatnonzero(lengths == n)
+        ys = np.stack([np.asarray(series[i], dtype=float) for i in members])
+        total, ahead = np.zeros(ys.shape), np.zeros(len(ys))
+        for tree in range(trees):
+            nearest = nearest_drawn(int(n), tree)
+            total += ys[:, nearest]
+            ahead += ys[:, nearest[-1]]
+        for i, y, fit, last in zip(members, ys, total, ahead):
+            spread, missed = ((y - y.mean()) ** 2).sum(), ((y - fit / trees) ** 2).sum()
+            score = 1 - missed / spread if spread > 0 else float(missed == 0)
+            out[i] = (last / trees, max(0.0, min(1.0, score)))
+    return out
+
+
 def forest(y: np.ndarray, trees: int) -> tuple[float, float]:
-    """(forecast beyond the last position, in-sample R2 held to 0..1) of a bootstrap forest over the positions of ``y``."""
-    n, at = len(y), np.arange(len(y))
-    total, ahead = np.zeros(n), 0.0
-    for tree in range(trees):
-        drawn = np.unique(drawn_positions(n, tree))
-        right = np.minimum(np.searchsorted(drawn, at), len(drawn) - 1)
-        left = np.maximum(np.searchsorted(drawn, at, side="right") - 1, 0)
-        below, above = drawn[left], drawn[right]
-        low = (below <= at) & ((at - below <= above - at) | (above < at))
-        total += y[np.where(low, below, above)]
-        ahead += y[drawn[-1]]
-    spread, missed = ((y - y.mean()) ** 2).sum(), ((y - total / trees) ** 2).sum()
-    score = 1 - missed / spread if spread > 0 else float(missed == 0)
-    return ahead / trees, max(0.0, min(1.0, score))
+    """The forest of one series."""
+    return forests([y], trees)[0]
 
 
 def boosted(y: np.ndarray, rounds: int, depth: int = 6, rate: float = 0.3, l2: float = 1.0) -> np.ndarray:
