@@ -2,9 +2,9 @@
 
 The distance of two rows is Euclidean over the columns that both have, scaled up by the share of columns compared. Equal rows are
 combined first. Rows that can give a value are kept apart by which columns they have (their pattern); each pattern has a tree of axis
-cuts over its own columns. A row with holes first looks into one leaf of every pattern, which bounds the distance of its neighbours, and
-then into every leaf within that bound; cuts along columns that the row lacks prune nothing. The sample behind the trees decides the
-balance, never the answer.
+cuts for every set of columns that it shares with a pattern with holes, so every cut prunes: a tree with cuts along columns that a
+row lacks would send it into a growing part of its leaves. A row with holes first looks into one leaf of every pattern, which bounds the
+distance of its neighbours, and then into every leaf within that bound. The sample behind the trees decides the balance, never the answer.
 """
 
 from __future__ import annotations
@@ -38,8 +38,14 @@ def _pattern(v: Column) -> Column:
     return F.array_join(F.transform(v, lambda x: F.when(x.isNull(), "0").otherwise("1")), "")
 
 
-def _grow_forest(points: DataFrame, leaf_rows: int) -> tuple[list, dict[str, int]]:
-    """Nodes (axis, cut, left, right; axis -1: leaf) and the root of every pattern that has any column."""
+def _shared(own: str, other: str) -> str | None:
+    """The columns that rows of both patterns have, as a pattern; None where there are none or ``other`` fills no hole of ``own``."""
+    both = "".join("1" if a == b == "1" else "0" for a, b in zip(own, other))
+    return both if "1" in both and any(a == "0" and b == "1" for a, b in zip(own, other)) else None
+
+
+def _grow_forest(points: DataFrame, leaf_rows: int) -> tuple[list, dict[str, dict[str, int]]]:
+    """Nodes (axis, cut, left, right; axis -1: leaf), and by pattern the root of its tree for each set of columns it shares with rows that it can fill."""
     sizes = {r["pattern"]: r["count"] for r in points.groupBy("pattern").count().collect()}
     share = min(1.0, SAMPLE / max(sum(sizes.values()), 1))
     chosen = points.where(F.pmod(F.xxhash64("point_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else points
@@ -60,13 +66,13 @@ def _grow_forest(points: DataFrame, leaf_rows: int) -> tuple[list, dict[str, int
         nodes[at] = [axis, cut, grow(part[low], axes, depth - 1), grow(part[~low], axes, depth - 1)]
         return at
 
-    roots = {}
+    roots: dict[str, dict[str, int]] = {}
     for pattern, size in sorted(sizes.items()):
-        axes = [i for i, bit in enumerate(pattern) if bit == "1"]
-        if axes:
-            rows = sample["v"][sample["pattern"] == pattern].tolist()
-            data = np.array(rows, dtype=float).reshape(len(rows), len(pattern))
-            roots[pattern] = grow(data, axes, int(np.ceil(np.log2(max(size / leaf_rows, 1)))))
+        rows = sample["v"][sample["pattern"] == pattern].tolist()
+        data = np.array(rows, dtype=float).reshape(len(rows), len(pattern))
+        depth = int(np.ceil(np.log2(max(size / leaf_rows, 1))))
+        sets = sorted({both for own in sizes if (both := _shared(own, pattern))})
+        roots[pattern] = {both: grow(data, [i for i, bit in enumerate(both) if bit == "1"], depth) for both in sets}
     return nodes, roots
 
 
@@ -88,17 +94,16 @@ def _leaves(nodes: list, root: int, v: np.ndarray, radius: float | None) -> list
     return out
 
 
-def _visits(nodes: list, roots: dict[str, int], width: int):
+def _visits(nodes: list, roots: dict[str, dict[str, int]], width: int):
     """Function (pattern, v, radius) -> leaves that can hold a neighbour; radius NULL: one leaf of each pattern."""
     @F.pandas_udf("array<int>")
     def visit(patterns: pd.Series, vs: pd.Series, radii: pd.Series) -> pd.Series:
+        trees = {own: [(roots[other][both], both.count("1")) for other in roots if (both := _shared(own, other))] for own in patterns.unique()}
         found = []
         for own, v, radius in zip(patterns, vs, radii):
             point, leaves = np.array(v, dtype=float), []
-            for other, root in roots.items():
-                shared = sum(a == b == "1" for a, b in zip(own, other))
-                if shared and any(a == "0" and b == "1" for a, b in zip(own, other)):
-                    leaves += _leaves(nodes, root, point, None if pd.isna(radius) else radius / np.sqrt(width / shared))
+            for root, shared in trees[own]:
+                leaves += _leaves(nodes, root, point, None if pd.isna(radius) else radius / np.sqrt(width / shared))
             found.append(leaves)
         return pd.Series(found)
 
@@ -175,12 +180,13 @@ def impute_nearest(df: DataFrame, columns: list[str], neighbours: int = 5, leaf_
     nodes, roots = _grow_forest(points, leaf_rows)
     shipped = spark.sparkContext.broadcast(nodes)
 
-    @F.pandas_udf("int")
-    def own_leaf(patterns: pd.Series, vs: pd.Series) -> pd.Series:
-        return pd.Series([_leaves(shipped.value, roots[p], np.array(v, dtype=float), None)[0] for p, v in zip(patterns, vs)])
+    @F.pandas_udf("array<int>")
+    def own_leaves(patterns: pd.Series, vs: pd.Series) -> pd.Series:
+        points = (np.array(v, dtype=float) for v in vs)
+        return pd.Series([[_leaves(shipped.value, root, v, None)[0] for root in roots[p].values()] for p, v in zip(patterns, points)])
 
     full, none = "1" * width, "0" * width
-    stored = checkpoint_frame(points.where(F.col("pattern") != none).withColumn("leaf", own_leaf("pattern", "v")))
+    stored = checkpoint_frame(points.where(F.col("pattern") != none).withColumn("leaf", F.explode(own_leaves("pattern", "v"))))
     asked = points.where(~F.col("pattern").isin(full, none)).drop("weight")
     visit = _visits(nodes, roots, width)
     first = _search(asked.withColumn("radius", F.lit(None).cast("double")), stored, visit, k, chunk)
