@@ -27,20 +27,21 @@ def bucketed_previous(
     tagged = df.withColumn("_bucket", bucket)
     inner = W.partitionBy(*keys).orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    ends = tagged.groupBy(*keys).agg(*[
-        F.max_by(col(v), F.when(col(v).isNotNull(), F.struct(*order_by))).alias(f"_end_{i}")
-        for i, v in enumerate(values)
+    inside = tagged.select("*", *[
+        F.last(col(v), ignorenulls=True).over(inner).alias(f"_in_{i}") for i, v in enumerate(values)
+    ])
+    # the last row of a bucket knows the last value; numbers keep the aggregation free of sorting, and rows are shuffled once
+    ends = inside.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*order_by))).groupBy(*keys).agg(*[
+        F.max_by(F.coalesce(col(v), F.col(f"_in_{i}")), "_at").alias(f"_end_{i}") for i, v in enumerate(values)
     ])
     carried = ends.select(*keys, *[
         F.last(f"_end_{i}", ignorenulls=True).over(earlier).alias(f"_carry_{i}") for i in range(len(values))
     ])
-    inside = tagged.select("*", *[
-        F.last(col(v), ignorenulls=True).over(inner).alias(f"_in_{i}") for i, v in enumerate(values)
-    ])
     previous = [
         F.coalesce(F.col(f"l._in_{i}"), F.col(f"r._carry_{i}")).alias(f"{prefix}{v}") for i, v in enumerate(values)
     ]
-    return _attach(inside, carried, keys).select(*[F.col(f"l.`{c}`") for c in df.columns], *previous)
+    # without keys there is one row for each bucket
+    return _attach(inside, carried if by else F.broadcast(carried), keys).select(*[F.col(f"l.`{c}`") for c in df.columns], *previous)
 
 
 def bucketed_running_max(

@@ -13,6 +13,7 @@ from tallyforge.functions.semantics import (
 from tallyforge.functions.text import humanize_name
 from tallyforge.operators import backbone as B, profile as P, trend as TR
 
+_REVENUE_PER = {"Orders": ("Average Order Value", 88), "Customers": ("Revenue Per Customer", 86), "Products": ("Revenue Per Product", 86)}
 KPI_SCHEMA = ["kpi", "value", "source_columns", "confidence"]
 
 
@@ -43,8 +44,13 @@ def choose_time(df: DataFrame) -> str | None:
     return times[0] if times else None
 
 
-def _rows(df: DataFrame, items: list[tuple[str, Column, list[str], int]]) -> DataFrame:
+Items = list[tuple[str, Column, list[str], int]]
+
+
+def _rows(df: DataFrame, items: Items) -> DataFrame:
     """One aggregation, one row per (name, value, sources, confidence); values without data are left out."""
+    if not items:
+        return _empty(df)
     structs = [
         F.struct(
             F.lit(name).alias("kpi"), F.round(value.cast("double"), 2).alias("value"),
@@ -139,10 +145,13 @@ def discovered_kpis(df: DataFrame, time: str | None = None) -> DataFrame:
 
 def role_totals(df: DataFrame) -> DataFrame:
     """Sum of the first numeric column of each money and volume role."""
+    return _rows(df, _role_totals(df))
+
+
+def _role_totals(df: DataFrame) -> Items:
     roles, numbers = roles_of(df.columns), numeric_columns(df)
     found = [(r, _first(roles, r, numbers)) for r in L.SUM_ROLES]
-    items = [(r, F.sum(col(c)), [c], 88) for r, c in found if c]
-    return _rows(df, items) if items else _empty(df)
+    return [(r, F.sum(col(c)), [c], 88) for r, c in found if c]
 
 
 def role_distinct(df: DataFrame) -> DataFrame:
@@ -163,57 +172,68 @@ def role_distinct(df: DataFrame) -> DataFrame:
 
 def margin(df: DataFrame) -> DataFrame:
     """Profit, or revenue less cost, in percent of |revenue|."""
+    return _rows(df, _margin(df))
+
+
+def _margin(df: DataFrame) -> Items:
     roles, numbers = roles_of(df.columns), numeric_columns(df)
     revenue, profit, cost = (_first(roles, r, numbers) for r in ("Revenue", "Profit", "Cost"))
     if revenue and profit:
         value = ratio(F.sum(col(profit)), F.abs(F.sum(col(revenue)))) * 100
-        return _rows(df, [("Margins", value, [profit, revenue], 90)])
+        return [("Margins", value, [profit, revenue], 90)]
     if revenue and cost:
         value = ratio(F.sum(col(revenue)) - F.sum(col(cost)), F.abs(F.sum(col(revenue)))) * 100
-        return _rows(df, [("Margins", value, [revenue, cost], 84)])
-    return _empty(df)
+        return [("Margins", value, [revenue, cost], 84)]
+    return []
 
 
 def average_rates(df: DataFrame) -> DataFrame:
     """Mean of the conversion and of the rating column."""
+    return _rows(df, _average_rates(df))
+
+
+def _average_rates(df: DataFrame) -> Items:
     roles, numbers = roles_of(df.columns), numeric_columns(df)
     items = []
     for role, name, confidence in (("Conversion Rate", "Conversion Rate", 82), ("Ratings", "Average Rating", 84)):
         c = _first(roles, role, numbers)
         if c:
             items.append((name, F.avg(col(c)), [c], confidence))
-    return _rows(df, items) if items else _empty(df)
+    return items
 
 
-def _revenue_per(df: DataFrame, role: str, name: str, confidence: int) -> DataFrame:
+def _revenue_per(df: DataFrame, role: str) -> Items:
+    name, confidence = _REVENUE_PER[role]
     roles = roles_of(df.columns)
     revenue, entity = _first(roles, "Revenue", numeric_columns(df)), _first(roles, role, df.columns)
     if not revenue or not entity:
-        return _empty(df)
-    return _rows(df, [
-        (name, ratio(F.sum(col(revenue)), F.count_distinct(col(entity))), [revenue, entity], confidence)
-    ])
+        return []
+    return [(name, ratio(F.sum(col(revenue)), B.unique_values(df, entity)), [revenue, entity], confidence)]
 
 
 def average_order_value(df: DataFrame) -> DataFrame:
-    return _revenue_per(df, "Orders", "Average Order Value", 88)
+    return _rows(df, _revenue_per(df, "Orders"))
 
 
 def revenue_per_customer(df: DataFrame) -> DataFrame:
-    return _revenue_per(df, "Customers", "Revenue Per Customer", 86)
+    return _rows(df, _revenue_per(df, "Customers"))
 
 
 def revenue_per_product(df: DataFrame) -> DataFrame:
-    return _revenue_per(df, "Products", "Revenue Per Product", 86)
+    return _rows(df, _revenue_per(df, "Products"))
 
 
 def inventory_turnover(df: DataFrame) -> DataFrame:
     """Units sold per mean stock."""
+    return _rows(df, _inventory_turnover(df))
+
+
+def _inventory_turnover(df: DataFrame) -> Items:
     roles, numbers = roles_of(df.columns), numeric_columns(df)
     units, stock = _first(roles, "Units", numbers), _first(roles, "Inventory", numbers)
     if not units or not stock:
-        return _empty(df)
-    return _rows(df, [("Inventory Turnover", ratio(F.sum(col(units)), F.avg(col(stock))), [units, stock], 76)])
+        return []
+    return [("Inventory Turnover", ratio(F.sum(col(units)), F.avg(col(stock))), [units, stock], 76)]
 
 
 def monthly_kpis(df: DataFrame, measure: str, time: str) -> DataFrame:
@@ -250,22 +270,28 @@ def moving_forecast(df: DataFrame, measure: str, time: str) -> DataFrame:
 
 def sales_velocity(df: DataFrame, units: str, time: str) -> DataFrame:
     """Units per day between the first and the last time stamp (at least one day)."""
+    return _rows(df, _sales_velocity(units, time))
+
+
+def _sales_velocity(units: str, time: str) -> Items:
     micros = F.unix_micros(col(time).cast("timestamp"))
     days = F.greatest(F.floor((F.max(micros) - F.min(micros)) / F.lit(86400000000)), F.lit(1))
-    return _rows(df, [("Sales Velocity", ratio(F.sum(col(units)), days), [units, time], 78)])
+    return [("Sales Velocity", ratio(F.sum(col(units)), days), [units, time], 78)]
 
 
 def business_kpis(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """All role-based key figures that the columns allow."""
+    """All role-based key figures that the columns allow; those that are one sum over the rows come from one aggregation."""
     roles, numbers, time = roles_of(df.columns), numeric_columns(df), choose_time(df)
-    parts = [role_totals(df), role_distinct(df), margin(df), average_rates(df), average_order_value(df),
-             revenue_per_customer(df), revenue_per_product(df), inventory_turnover(df)]
     revenue, units = _first(roles, "Revenue", numbers), _first(roles, "Units", numbers)
+    places: list[tuple[int, Items]] = [
+        (0, _role_totals(df)), (2, _margin(df)), (3, _average_rates(df)), *[(4 + i, _revenue_per(df, role)) for i, role in enumerate(_REVENUE_PER)],
+        (7, _inventory_turnover(df)), (10, _sales_velocity(units, time) if time and units else []),
+    ]
+    items = [(f"{place:02d}{name}", *rest) for place, some in places for name, *rest in some]
+    placed = _rows(df, items).withColumn("_order", F.substring("kpi", 1, 2).cast("int")).withColumn("kpi", F.expr("substring(kpi, 3)"))
+    found = [placed, role_distinct(df).withColumn("_order", F.lit(1))]
     if time and revenue:
-        parts += [growth_rate(df, revenue, time), moving_forecast(df, revenue, time)]
-    if time and units:
-        parts.append(sales_velocity(df, units, time))
-    found = [p.withColumn("_order", F.lit(i)) for i, p in enumerate(parts)]
+        found += [growth_rate(df, revenue, time).withColumn("_order", F.lit(8)), moving_forecast(df, revenue, time).withColumn("_order", F.lit(9))]
     all_rows = reduce(DataFrame.unionByName, found)
     if not any(roles.values()) and numbers:
         items = [(f"{humanize_name(c)} Total", F.sum(col(c)), [c], 70) for c in numbers]

@@ -40,7 +40,7 @@ def run_analysis(
     """Profile, quality, key figures, trends, anomalies, forecasts, insights and advice for ``df``.
 
     All rows are used. The table is written once as Parquet because some thirty sections read columns of
-    it; a section is computed when it is added, so its status tells how it ended. ``order_by`` (default: the time
+    it, and what they share (statistics, quartiles, counts of values and of repeated rows, sums by day) is computed once; a section is computed when it is added, so its status tells how it ended. ``order_by`` (default: the time
     column) orders rows for sudden moves, with a hash of the row for ties; ``key`` names rows for the model-based detectors. Without
     ``models`` the forecasts to choose from, segments, drivers, detectors and the sections that put signals into words are left out.
     """
@@ -48,7 +48,7 @@ def run_analysis(
     if infer_types:
         df, report = N.normalize(df)
         repeated = report["duplicate_columns"]
-    data = staged_table(df)
+    data = B.remember(staged_table(df))
     out = Analysis(dataset_id)
     numbers = [c for c in numeric_columns(data) if not P.is_id_name(c)]
     texts = text_columns(data)
@@ -82,7 +82,7 @@ def run_analysis(
         out.add("trend_engine", lambda: TR.period_growth(data, time, numbers))
         out.add("trend_cards", lambda: TR.trend_cards(data, numbers, time))
         out.add("linear_trend", lambda: TR.linear_trend(data, time, numbers))
-        out.add("anomalies", lambda: A.rule_anomalies(*_ordered(data, order_by or [time]), numbers))
+        out.add("anomalies", lambda: A.rule_anomalies(*_ordered(data, order_by or [time]), numbers, table=data))
         out.add("seasonality", lambda: TR.seasonality(data, time, measure))
         out.add("forecast", lambda: FO.forecast(data, time, numbers))
         out.add("line", lambda: CH.line(data, time, numbers))
