@@ -295,6 +295,47 @@ def test_repeats_equal_brute_force(spark):
     assert any("w" in t and len(t.split()) < 250 for t in want.values())
 
 
+def test_suffix_array_is_sorted_with_its_common_prefixes():
+    rng = np.random.default_rng(5)
+    for lengths in ([0], [1], [7, 0, 7], [40, 3, 64, 12, 0, 1], [100]):
+        streams = [rng.integers(0, 3, n).astype(np.uint64) for n in lengths]
+        streams += [s.copy() for s in streams[:2]]
+        bounds = np.append(0, np.cumsum([len(s) for s in streams]))
+        order, common = host_suffix.suffix_array(np.concatenate(streams), bounds)
+        suffixes = [(list(s[i:]), b + i) for s, b in zip(streams, bounds, strict=False) for i in range(len(s))]
+        assert [p for _, p in sorted(suffixes)] == order.tolist()
+        for x, y, n in zip(sorted(suffixes), sorted(suffixes)[1:], common[1:], strict=False):
+            assert n == next((i for i, (u, v) in enumerate(zip(x[0], y[0], strict=False)) if u != v), min(len(x[0]), len(y[0])))
+
+
+def test_repeats_are_the_same_for_every_cut_into_chunks(spark):
+    """Every suffix takes part (repeats of just 6 tokens anywhere), hosts inside a chunk and over its borders alike; repeats of 5 are none."""
+    def own(k, j, n):
+        return prose(7000 + 10 * k + j, n, 9000)
+
+    rows = [(k, f"http://h{k % 4 // 2}.example/{k}", f"<nav>n</nav><div>{own(k, 0, 5)} {prose(k // 2, 6, 9000)}</div><p>{own(k, 1, 4)} {prose(100 + k // 2, 5, 9000)}</p><footer>f</footer>" if k < 20 else
+             f"<nav>{prose(k // 2, 30, 9000)}</nav><article><h1>{own(k, 2, 6)}</h1><p>{prose(3, 30, 9000)}</p></article>") for k in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [sorted((r.page_id, r.text) for r in host_suffix.extract(pages, chunk=chunk).collect()) for chunk in (1, 60, 400, 1 << 20)]
+    assert got[0] == got[1] == got[2] == got[3]
+    for k, text in got[0]:
+        assert text == (f"{own(k, 1, 4)} {prose(100 + k // 2, 5, 9000)}" if k < 20 else f"{own(k, 2, 6)}\n{prose(3, 30, 9000)}"), k
+
+
+def test_repeats_decide_notices_inside_an_article(spark):
+    """An element of a marked article that is named like a notice goes if other pages of the host have it; the article's own stays, and so does all that is plain."""
+    box, passage = prose(1, 20, 9000), prose(2, 40, 9000)
+    rows = [(k, f"http://a.example/{k}", f"<nav>n</nav><article><h1>t{k}</h1><div class='newsletter-box'><p>{box}</p></div><p>{passage}</p>"
+             f"<p class='notice'>{prose(50 + k, 20, 9000)}</p><div class='share'>more {k}</div></article><footer>{passage}</footer>") for k in range(4)]
+    rows += [rows[0], (9, "http://b.example/9", rows[0][2]), (10, "http://b.example/10", rows[0][2].replace("<nav>n", "<nav>another"))]
+    got = defaultdict(set)
+    for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got[r.page_id].add(r.text)
+    for k in range(4):
+        assert got[k] == {f"t{k}\n{passage}\n{prose(50 + k, 20, 9000)}\nmore {k}"}
+    assert got[9] == got[10] == {f"t0\n{box}\n{passage}\n{prose(50, 20, 9000)}\nmore 0"}  # copies are one page: nothing repeats there
+
+
 def test_a_head_ends_where_the_body_begins():
     for opened in ("<head><title>t</title><meta charset=utf-8><body><p>", "<head><link rel=x><p>", "<HEAD><style>p {}</style>\n", "<head></head><body>", "<head><title>t</title></head><p>"):
         assert host_suffix.blocks_of(f"<html>{opened}main text</p></html>") == (False, ["main text"], [])
